@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from . import simhash
-from .common import documents
+from . import langid, mixing, quality, simhash, toxicity
+from .common import documents, read_table
 
 
 def op1_simhash(spark, sf_dir):
     return simhash.op1(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.op2(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark, sf_dir):
+    return langid.op5(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+def op6_quality(spark, sf_dir):
+    return quality.op6(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark, sf_dir):
+    return mixing.op7(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op5_language_id, op6_quality, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
