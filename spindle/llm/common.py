@@ -24,13 +24,13 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder that spark.checkpoint.dir names and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
     Where the setting is absent (local tests only) a temporary folder takes its place; on a
     cluster a machine-local folder would not be shared, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

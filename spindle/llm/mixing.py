@@ -143,7 +143,7 @@ def mix(
 
     id_kind = docs.schema[id_col].dataType.simpleString()
 
-    def take(key, table: pd.DataFrame) -> pd.DataFrame:
+    def take(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["o", "id", "size"], ignore_index=True)
         seed_here = (seed << 48) ^ (int(key[0]) << 32) ^ int(key[1])
         taken = take_blocks(table["size"].to_numpy(np.int64), int(table["quota"].iat[0]), block, seed_here)

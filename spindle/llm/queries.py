@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, simhash, toxicity
+from . import decontam, fingerprints, langid, line_templates, mixing, quality, simhash, toxicity
 from .common import documents, read_table
 
 
@@ -14,6 +14,14 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.op2(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_templates.op3(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.op4(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_language_id(spark, sf_dir):
     return langid.op5(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
@@ -26,9 +34,14 @@ def op7_mixing(spark, sf_dir):
     return mixing.op7(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontam.op9(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op5_language_id, op6_quality, op7_mixing)}
+    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op9_decontamination)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontam.ORACLE}

@@ -94,18 +94,17 @@ def _coarse_keys(fps: list[str]) -> Column:
     return F.array(*keys)
 
 
-def _variant_keys(fps: list[str]) -> Column:
-    """The one-wildcard variants: (fingerprint, bit taken out, rest of its segment) in an int."""
-    keys = []
-    for j, fp in enumerate(fps):
-        for shift, width in SEGMENTS:
-            part = _segment(F.col(fp), shift, width)
-            for bit in range(width):
-                low = part.bitwiseAND(F.lit((1 << bit) - 1))
-                high = F.shiftright(part, bit + 1)
-                rest = low + F.shiftleft(high, bit)
-                keys.append((rest + F.lit((j * 64 + shift + bit) << 21)).cast("long"))
-    return F.array(*keys)
+def with_variants(reps: DataFrame, fps: list[str]) -> DataFrame:
+    """``reps`` once for each one-wildcard variant; key: (bit taken out, rest of its segment)."""
+    bits = reps.select("*", F.explode(F.sequence(F.lit(0), F.lit(64 * len(fps) - 1))).alias("__bit"))
+    cases = " ".join(f"WHEN __bit % 64 < {shift + width} THEN {shift}" for shift, width in SEGMENTS)
+    bits = bits.withColumn("__fp", F.element_at(F.array(*fps), F.expr("__bit div 64 + 1").cast("int")))
+    bits = bits.withColumn("__shift", F.expr(f"CASE {cases} END"))
+    bits = bits.withColumn("__width", F.expr(f"CASE __shift WHEN {SEGMENTS[2][0]} THEN {SEGMENTS[2][1]} ELSE {SEGMENTS[0][1]} END"))
+    bits = bits.withColumn("__part", F.expr("shiftrightunsigned(__fp, __shift) & (shiftleft(1L, __width) - 1)"))
+    bits = bits.withColumn("__at", F.expr("__bit % 64 - __shift"))
+    rest = "(__part & (shiftleft(1L, __at) - 1)) + shiftleft(shiftright(__part, __at + 1), __at)"
+    return bits.select(*reps.columns, F.expr(f"shiftleft(CAST(__bit AS BIGINT), 21) + {rest}").alias("key"))
 
 
 def _first_variant(xors: list[Column]) -> Column:
@@ -141,7 +140,7 @@ def variant_links(reps: DataFrame, fps: list[str], within: int) -> DataFrame:
     ``reps`` holds node, cluster and the fingerprints.  Each pair comes out once, at its first
     shared variant.
     """
-    keyed = reps.select("node", "cluster", *fps, F.explode(_variant_keys(fps)).alias("key"))
+    keyed = with_variants(reps.select("node", "cluster", *fps), fps)
     x, y = keyed.alias("x"), keyed.alias("y")
     xors = [F.col(f"x.{fp}").bitwiseXOR(F.col(f"y.{fp}")) for fp in fps]
     pairs = x.join(
@@ -240,9 +239,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Exact copies (after folding A-Z and whitespace) are collapsed first, rows with equal ids
     by their text, so that only distinct texts are compared.  Null ids come after all others.
     """
-    text, key, num = (free_name(docs.columns, n) for n in ("__text", "__key", "__num"))
+    key = free_name(docs.columns, "__key")
     folded = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    del text, num
     keyed = docs.withColumn(key, F.xxhash64(F.md5(folded), F.sha1(folded)))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
     reps = cut(keyed.groupBy(key).agg(F.min(order).alias("o")).select(F.col(key).alias("node"), "o"))
