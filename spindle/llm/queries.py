@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, langid, line_templates, mixing, quality, simhash, toxicity
+from . import compact_windows, decontam, fingerprints, langid, line_templates, mixing, quality, repeats, simhash, toxicity
 from .common import documents, read_table
 
 
@@ -34,12 +34,20 @@ def op7_mixing(spark, sf_dir):
     return mixing.op7(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op8_near_passages(spark, sf_dir):
+    return compact_windows.op8(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.op9(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_repeats(spark, sf_dir):
+    return repeats.op10(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict:
-    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op9_decontamination)
+    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op8_near_passages, op9_decontamination, op10_repeats)
     return {f.__name__: f for f in all_}
 
 
