@@ -249,10 +249,9 @@ def normals(seed: int, step: int, nodes: int) -> np.ndarray:
 
 def langevin(nodes: DataFrame, springs: DataFrame, replicas: list[int], steps: int, dt: float = 0.02, friction: float = 1.0, kt: float = 0.6, stiffness: float = 1.0, mass: float = 1.0) -> DataFrame:
     """(replica, atom, x, y, z, temperature) after BAOAB steps; one task per replica (a seed)."""
-    spark = nodes.sparkSession
-    seeds = spark.createDataFrame([(int(r),) for r in replicas], "replica long")
-    rows = seeds.crossJoin(F.broadcast(nodes.select("atom", *(F.col(c).cast("double") for c in "xyz"))))
-    edges = seeds.crossJoin(F.broadcast(springs.select("a", "b")))
+    seeds = F.explode(F.array(*(F.lit(int(r)).cast("long") for r in replicas))).alias("replica")
+    rows = nodes.select(seeds, "atom", *(F.col(c).cast("double") for c in "xyz"))
+    edges = springs.select(seeds, "a", "b")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("atom", ignore_index=True)
