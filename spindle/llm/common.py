@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of at most a few dozen bytes that may be sent to every task.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (materialised, narrow rows) marked for broadcast if it is counted to be small.
+
+    A larger one is joined by shuffle; the result is the same.
+    """
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of frames that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
