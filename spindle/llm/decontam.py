@@ -33,7 +33,8 @@ HASHES = 48
 TINY = 4
 BLOCK_BYTES = 8 << 20
 TOKEN = re.compile(r"\w+")
-SEEDS = mix64(np.arange(1, HASHES + 1, dtype=U64) * U64(GOLDEN))
+#: Shingle hashes are mixed already, so a multiplication by an odd number permutes them anew.
+FACTORS = mix64(np.arange(1, HASHES + 1, dtype=U64) * U64(GOLDEN)) | U64(1)
 FILTER_BITS = 20
 
 
@@ -67,7 +68,7 @@ class Index:
                 minima.append(None)
             else:
                 self.parts[max(3, (len(grams) - 1).bit_length())].append(k)
-                minima.append(np.array([mix64(hashes ^ s).min() for s in SEEDS]))
+                minima.append(np.array([(hashes * f).min() for f in FACTORS]))
         self.tables = {}
         for scale, members in self.parts.items():
             values = np.concatenate([minima[k] for k in members])
@@ -90,7 +91,9 @@ class Index:
             h = shingle_hashes(words, WORDS)
             step = 1 << (min(self.tables) - 1)
             starts = np.arange(0, len(h), step)
-            minima = np.stack([np.minimum.reduceat(mix64(h ^ s), starts) for s in SEEDS], axis=1)
+            minima, turned = np.empty((len(starts), HASHES), U64), np.empty_like(h)
+            for k, f in enumerate(FACTORS):
+                minima[:, k] = np.minimum.reduceat(np.multiply(h, f, out=turned), starts)
             scale = min(self.tables)
             while True:
                 if scale in self.tables:
