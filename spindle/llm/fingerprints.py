@@ -16,12 +16,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, rows_of, shuffle_width, texts
+from .common import cut, map_arrow, rows_of, shuffle_width, small, texts
 
 SPACE = re.compile(r"\s+")
 
@@ -63,7 +65,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
     shared = prints.join(several.select("fingerprint"), "fingerprint", "left_semi").select(F.col("id").alias("of")).distinct()
     members = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = members.join(shared, F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    members = members.join(small(cut(shared)), F.col("id").eqNullSafe(F.col("of")), "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [canonical(t).encode("utf-8", "surrogatepass") for t in texts(batch.column(1))]
@@ -72,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = prints.schema["id"].dataType.simpleString()
     held = map_arrow(members, run, f"id {kind}, fingerprint string, bytes binary")
-    held = held.join(several.select("fingerprint"), "fingerprint", "left_semi")
+    held = cut(held.join(several.select("fingerprint"), "fingerprint", "left_semi"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("bytes"))
     parts = []
     while True:
@@ -119,7 +121,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     bounds = bounds_of(rows, "id", shuffle_width(spark))
     part = F.lit(0)
     if bounds:
-        part = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))))
+
+        @F.pandas_udf("int")
+        def range_of(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(np.array(bounds), ids.to_numpy(), side="right").astype("int32"))
+
+        part = F.when(F.col("id").isNull(), 0).otherwise(range_of(F.coalesce("id", F.lit(bounds[0]))))
     rows = rows.withColumn("part", part.cast("int")).withColumn("guest", F.lit(0))
     key = F.struct(F.col("id").isNotNull().alias("k"), F.col("id"))
     firsts = {r["part"]: r["i"]["id"] for r in rows.groupBy("part").agg(F.min(key).alias("i")).collect()}
