@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, binary_texts, components, cut, free_name, map_arrow, mix64, xor_bits
+from .common import GOLDEN, U64, binary_texts, components, cut, free_name, map_arrow, mix64, release, small, xor_bits
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_DISTANCE = 5
@@ -94,17 +94,16 @@ def _coarse_keys(fps: list[str]) -> Column:
     return F.array(*keys)
 
 
-def with_variants(reps: DataFrame, fps: list[str]) -> DataFrame:
-    """``reps`` once for each one-wildcard variant; key: (bit taken out, rest of its segment)."""
-    bits = reps.select("*", F.explode(F.sequence(F.lit(0), F.lit(64 * len(fps) - 1))).alias("__bit"))
-    cases = " ".join(f"WHEN __bit % 64 < {shift + width} THEN {shift}" for shift, width in SEGMENTS)
-    bits = bits.withColumn("__fp", F.element_at(F.array(*fps), F.expr("__bit div 64 + 1").cast("int")))
+def with_variants(reps: DataFrame, fp: str, number: int) -> DataFrame:
+    """``reps`` once for each one-wildcard variant of ``fp``; key: (bit taken out, rest of segment)."""
+    bits = reps.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__bit"))
+    cases = " ".join(f"WHEN __bit < {shift + width} THEN {shift}" for shift, width in SEGMENTS)
     bits = bits.withColumn("__shift", F.expr(f"CASE {cases} END"))
     bits = bits.withColumn("__width", F.expr(f"CASE __shift WHEN {SEGMENTS[2][0]} THEN {SEGMENTS[2][1]} ELSE {SEGMENTS[0][1]} END"))
-    bits = bits.withColumn("__part", F.expr("shiftrightunsigned(__fp, __shift) & (shiftleft(1L, __width) - 1)"))
-    bits = bits.withColumn("__at", F.expr("__bit % 64 - __shift"))
+    bits = bits.withColumn("__part", F.expr(f"shiftrightunsigned({fp}, __shift) & (shiftleft(1L, __width) - 1)"))
+    bits = bits.withColumn("__at", F.expr("__bit - __shift"))
     rest = "(__part & (shiftleft(1L, __at) - 1)) + shiftleft(shiftright(__part, __at + 1), __at)"
-    return bits.select(*reps.columns, F.expr(f"shiftleft(CAST(__bit AS BIGINT), 21) + {rest}").alias("key"))
+    return bits.select(*reps.columns, F.expr(f"shiftleft(CAST(__bit + {64 * number} AS BIGINT), 21) + {rest}").alias("key"))
 
 
 def _first_variant(xors: list[Column]) -> Column:
@@ -134,13 +133,13 @@ def coarse_links(reps: DataFrame, fps: list[str], within: int) -> DataFrame:
     return near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
-def variant_links(reps: DataFrame, fps: list[str], within: int) -> DataFrame:
-    """(a, b): every pair from different clusters that shares a variant and is near enough.
+def variant_links(reps: DataFrame, fps: list[str], within: int, number: int = 0) -> DataFrame:
+    """(a, b): pairs from different clusters near enough, by the variants of one fingerprint.
 
-    ``reps`` holds node, cluster and the fingerprints.  Each pair comes out once, at its first
-    shared variant.
+    ``reps`` holds node, cluster and the fingerprints.  Over all numbers each pair comes out
+    once, at its first shared variant.
     """
-    keyed = with_variants(reps.select("node", "cluster", *fps), fps)
+    keyed = with_variants(reps.select("node", "cluster", *fps), fps[number], number)
     x, y = keyed.alias("x"), keyed.alias("y")
     xors = [F.col(f"x.{fp}").bitwiseXOR(F.col(f"y.{fp}")) for fp in fps]
     pairs = x.join(
@@ -177,30 +176,32 @@ def hamming_components(prints: DataFrame, id_col: str = "doc_id", within: int =
     return prints.join(of, F.col("fp0") == F.col("__fp")).drop("__fp")
 
 
-def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, count: int = 4) -> DataFrame:
-    """(a, b) of ids whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def near_duplicate_links(rows: DataFrame, reps: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4) -> DataFrame:
+    """(a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    ``count`` independent fingerprints give 3 x ``count`` segments; a pair is a candidate if any
-    of them differs in at most one bit, and the exact similarity of the shingle sets decides.
-    Texts must be distinct and ids unique.  At similarity s the share of differing bits is
-    acos(2s / (1 + s)) / pi, and candidates may differ in six standard deviations more.
+    ``rows`` (node, o, text) are the texts; ``reps`` (node, o) name one row of each.  ``count``
+    independent fingerprints give 3 x ``count`` segments; a pair is a candidate if any of them
+    differs in at most one bit, and the exact similarity of the shingle sets decides.  At
+    similarity s the share of differing bits is acos(2s / (1 + s)) / pi; candidates may differ
+    in six standard deviations more.  Fingerprints are joined one after the other, so that only
+    one index is on disk at a time, and pairs already connected are not looked at again.
     """
     fps = [f"fp{j}" for j in range(count)]
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * count
     within = int(bits * share + 6 * np.sqrt(bits * share * (1 - share)))
-    prints = cut(fingerprints(docs, id_col, text_col, words, count).withColumnRenamed(id_col, "node"))
-    sets = lambda nodes: shingle_sets(
-        docs.join(nodes.select(F.col("node").alias(id_col)), id_col, "left_semi"), id_col, text_col, words
-    )
-    coarse = cut(verified(coarse_links(prints, fps, within), sets, similarity))
-    grouped = with_component(prints, components(coarse), "node", "cluster")
-    rest = verified(cut(variant_links(grouped, fps, within)), sets, similarity)
-    return coarse.union(rest)
+    prints = cut(fingerprints(rows, "node", "text", words, count).dropDuplicates(["node"]))
+    links = cut(verified(cut(coarse_links(prints, fps, within)), rows, reps, words, similarity))
+    for number in range(count):
+        grouped = cut(with_component(prints, components(links), "node", "cluster"))
+        found = cut(variant_links(grouped, fps, within, number))
+        links = cut(links.union(verified(found, rows, reps, words, similarity)))
+        release(rows.sparkSession)
+    return links
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, shingles): the sorted distinct shingle hashes of each text, packed."""
+def shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the sorted distinct shingle hashes of the wanted (node, o), packed."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [
@@ -209,14 +210,14 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
         ]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"node {kind}, shingles binary")
+    held = rows.join(small(cut(wanted)), ["node", "o"], "left_semi").select("node", "text")
+    return map_arrow(held, run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are similar enough; two empty sets are."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    packed = sets(nodes)
+    packed = shingle_sets(rows, reps.join(nodes, "node", "left_semi"), words)
     left = packed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = packed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
@@ -228,9 +229,8 @@ def verified(pairs: DataFrame, sets, similarity: float) -> DataFrame:
             keep.append(both >= similarity * (len(a) + len(b) - both))
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return map_arrow(joined, run, f"a {kind}, b {kind}")
+    return map_arrow(joined, run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, count: int = 4) -> DataFrame:
@@ -244,9 +244,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(key, F.xxhash64(F.md5(folded), F.sha1(folded)))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
     reps = cut(keyed.groupBy(key).agg(F.min(order).alias("o")).select(F.col(key).alias("node"), "o"))
-    one = keyed.select(F.col(key).alias("node"), F.col(text_col).alias("t"), order.alias("o"))
-    one = one.join(reps, ["node", "o"], "left_semi").dropDuplicates(["node"]).select("node", "t")
-    links = near_duplicate_links(one, "node", "t", words, similarity, count)
+    rows = keyed.select(F.col(key).alias("node"), order.alias("o"), F.col(text_col).alias("text"))
+    links = near_duplicate_links(rows, reps, words, similarity, count)
     parts = with_component(reps, components(links), "node", "part")
     keep = parts.groupBy("part").agg(F.min_by("node", F.struct("o", "node")).alias("node"), F.min(F.struct("o", "node")).alias("x"))
     keep = keep.select(F.col("node").alias(key), F.col("x.o").alias("o"))
