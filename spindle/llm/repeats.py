@@ -11,9 +11,10 @@ left extensions differ, the group is a maximal repeat; groups of at least ``leng
 are kept with all occurrences, not just neighbouring ones.
 
 Occurrences with the same bytes around the anchor are collapsed to a count before any text
-is moved.  Buckets of more than ``MAX_BUCKET`` different surroundings (a passage with very
-many contexts) are not sorted in one task: their windows are compared by 128-bit digests in a
-partially combined aggregation instead, which finds the same bytes.
+is moved.  Parts of buckets of more than ``MAX_BUCKET`` different surroundings (a passage with
+very many contexts) are not sorted in one task: their windows are compared by 128-bit digests in a
+partially combined aggregation instead, which finds the same bytes.  Before that a wide bucket
+is parted by what two equal windows must share: the text right before or right after the anchor.
 
 Texts are handled as whole UTF-8 byte strings; a match never crosses documents, but may lie in
 one document twice, overlapping or not.  Null texts count as empty.  Texts shorter than
@@ -30,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, binary_texts, cut, map_arrow, mix64, rows_of, shuffle_width
+from .common import GOLDEN, MAX_BROADCAST_ROWS, U64, binary_texts, cut, map_arrow, mix64, rows_of, shuffle_width
 
 LENGTH = 400
 GRAM = 32
-MAX_BUCKET = 2_048
+#: Buckets wider than this are parted first; parts wider than MAX_BUCKET aren't sorted in one task.
+NARROW, MAX_BUCKET = 2_048, 16_384
+#: A window holds the SIDE bytes before its anchor or else the LENGTH - SIDE + 1 after it.
+SIDE = 184
 CHUNK = 1 << 19
 PLACE = U64((1 << 20) - 1)
 MASK64 = (1 << 64) - 1
@@ -99,6 +103,8 @@ def surroundings(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
     wanted = found.groupBy(F.col("rep.key").alias("key")).agg(
         F.collect_list(F.struct("gram", "around", "n", "rep.a", "rep.s0", "rep.s1")).alias("at")
     )
+    if found.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     held = docs.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("text", "at")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -213,7 +219,7 @@ def in_buckets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[li
 def _entries(rows: list[tuple]) -> tuple[list[tuple[int, bytes]], list[int]]:
     """A bucket's suffixes; surroundings that occur more than once are in it twice."""
     entries, of = [], []
-    for j, (_, _, n, left, data) in enumerate(rows):
+    for j, (_, _, _, n, left, data) in enumerate(rows):
         for _ in range(min(2, n)):
             entries.append((left, data))
             of.append(j)
@@ -221,7 +227,10 @@ def _entries(rows: list[tuple]) -> tuple[list[tuple[int, bytes]], list[int]]:
 
 
 def tree_reach(around: DataFrame, length: int) -> DataFrame:
-    """(gram, around, before, after): how far repeats reach from the anchor, by the tree."""
+    """(gram, around, before, after): how far repeats reach from the anchor, by the tree.
+
+    ``around`` has bucket, gram, around, n, left and bytes; rows of a bucket are sorted together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buckets in in_buckets(batches, 1_000):
@@ -231,15 +240,37 @@ def tree_reach(around: DataFrame, length: int) -> DataFrame:
                 for j in {made[k][1][m] for m in members}:
                     best = reach.setdefault((k, j), [0, 0])
                     best[0], best[1] = max(best[0], left), max(best[1], right)
-            rows = [(*buckets[k][j][:2], *best) for (k, j), best in reach.items()]
+            rows = [(*buckets[k][j][1:3], *best) for (k, j), best in reach.items()]
             cols = list(zip(*rows)) if rows else [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols, kinds)], ["gram", "around", "before", "after"])
 
-    dealt = around.repartition(shuffle_width(around.sparkSession), "gram").sortWithinPartitions("gram")
+    dealt = around.select("bucket", "gram", "around", "n", "left", "bytes")
+    dealt = dealt.repartition(shuffle_width(around.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "gram long, around long, before int, after int")
 
 
+def wide_reach(around: DataFrame, length: int, max_bucket: int) -> DataFrame:
+    """Reach within wide buckets, parted by the text on either side of the anchor.
+
+    Two equal windows share SIDE bytes before the anchor or length - SIDE + 1 from it on, so each
+    row goes to at most two parts, and parts of one row hold no repeat.  Parts that are still
+    too wide are compared window by window.
+    """
+    side = min(SIDE, length // 2)
+    before = F.when(F.col("left") >= side, F.xxhash64("gram", F.lit(0), F.expr(f"substring(bytes, left - {side} + 1, {side})")))
+    after_size = length - side + 1
+    after = F.when(F.length("bytes") - F.col("left") >= after_size, F.xxhash64("gram", F.lit(1), F.expr(f"substring(bytes, left + 1, {after_size})")))
+    parts = around.withColumn("bucket", F.explode(F.array_compact(F.array(before, after))))
+    width = parts.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
+    parts = cut(parts.join(width, "bucket"))
+    out = tree_reach(parts.filter(F.col("k") <= max_bucket), length)
+    wide = parts.filter(F.col("k") > max_bucket)
+    if not wide.isEmpty():
+        out = out.union(window_reach(wide.dropDuplicates(["gram", "around"]), length))
+    return out
+
+
 def window_reach(around: DataFrame, length: int) -> DataFrame:
     """The same for hot buckets: windows around the anchor compared by digest, one row each."""
 
@@ -274,12 +305,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, max_bucket: int = MAX_
     kinds = rows.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "s0", "s1")).alias("rep"))
     width = kinds.groupBy("gram").agg(F.count("*").alias("k"))
     kinds = cut(kinds.join(width, "gram"))
-    # One surrounding, several times: its suffixes agree to both ends, a leaf of the tree.
-    alike = kinds.filter("k = 1").select("gram", "around", (F.col("rep.a") - F.col("rep.s0")).alias("before"), (F.col("rep.s1") + length - F.col("rep.a")).alias("after"))
-    reach = alike.union(tree_reach(surroundings(docs, kinds.filter(F.col("k").between(2, max_bucket)), length), length))
-    hot = kinds.filter(F.col("k") > max_bucket)
-    if not hot.isEmpty():
-        reach = reach.union(window_reach(surroundings(docs, hot, length), length))
+    # A surrounding found several times: its suffixes agree to both ends, a leaf of the tree.
+    alike = kinds.filter("n > 1").select("gram", "around", (F.col("rep.a") - F.col("rep.s0")).alias("before"), (F.col("rep.s1") + length - F.col("rep.a")).alias("after"))
+    some = surroundings(docs, kinds.filter(F.col("k").between(2, NARROW)), length).withColumn("bucket", F.col("gram"))
+    reach = alike.union(tree_reach(some, length))
+    wide = kinds.filter(F.col("k") > NARROW)
+    if not wide.isEmpty():
+        reach = reach.union(wide_reach(cut(surroundings(docs, wide, length)), length, max_bucket))
     spans = rows.join(reach, ["gram", "around"]).select("key", F.struct((F.col("a") - F.col("before")).alias("f"), (F.col("a") + F.col("after")).alias("t")).alias("s"))
     return spans.groupBy("key").agg(F.collect_set("s").alias("spans"))
 
@@ -303,12 +335,12 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = []
             for g, (k, members, left, right) in enumerate(maximal_repeats([m[0] for m in made], length)):
                 group = signed(xxhash.xxh3_64_intdigest(f"{buckets[k][0][0]} {left} {right} {sorted(members)}"))
-                out.extend((group, *buckets[k][j][:2], left, right) for j in sorted({made[k][1][m] for m in members}))
+                out.extend((group, *buckets[k][j][1:3], left, right) for j in sorted({made[k][1][m] for m in members}))
             cols = list(zip(*out)) if out else [()] * 5
             kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols, kinds_)], ["grp", "gram", "around", "before", "after"])
 
-    dealt = around.repartition(shuffle_width(docs.sparkSession), "gram").sortWithinPartitions("gram")
+    dealt = around.select(F.col("gram").alias("bucket"), "*").repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     groups = dealt.mapInArrow(run, "grp long, gram long, around long, before int, after int")
     ids = texts_.select("id", "key").distinct()
     out = rows.select("key", "a", "gram", "around").distinct().join(groups, ["gram", "around"]).join(ids, "key")
