@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, rows_of, shuffle_width, small, texts
+from .common import cut, map_arrow, release, rows_of, shuffle_width, small, texts
 
 SPACE = re.compile(r"\s+")
 
@@ -175,7 +175,9 @@ def op4(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    out = map_arrow(with_next(docs), run, schema)
     groups = exact_groups(docs).select(F.col("doc_id").alias("i"), F.col("fingerprint").alias("f"), "group_id", "n_copies").distinct()
+    groups = cut(groups)
+    release(docs.sparkSession)  # the compared bytes need not stay while whole texts are moved
+    out = map_arrow(with_next(docs), run, schema)
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fingerprint") == F.col("f"))
     return out.join(groups, same, "left").drop("i", "f")
