@@ -7,8 +7,9 @@ enough tokens agree, and the tokens that differ become ``<*>``.  A template foun
 ``min_docs`` different texts recurs, and all its lines are dropped.
 
 Exact copies of a text count once, so copies don't make each other's lines recur.  A leaf with
-more than ``MAX_LEAF`` distinct lines is parted by more leading tokens (``DEEPER``), and where
-that is not enough each masked line is a template of its own; no line is left out.
+more than ``MAX_LEAF`` distinct lines grows its templates in salted batches; the batches'
+templates are lines of the next round, with new salts, until one batch holds all that are left.
+A leaf that the batches no longer narrow is grown whole, so any two templates of a leaf meet.
 
 Blank lines are kept and are no templates.  Null texts stay null, empty ones empty.  Repeated
 rows lose the same lines.  Other columns pass through.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, map_arrow, small, texts
 
-DEPTH, DEEPER = 3, 8
+DEPTH = 3
 MAX_LEAF = 1_500
+#: A wide leaf is grown whole once a round of batches leaves more than this share of it.
+STALLED = 0.8
 WILD = "<*>"
 #: What a variable field holds: only lines with one of these are looked at token by token.
 HINT = re.compile(r"[\d@]|://|www\.")
@@ -46,14 +49,13 @@ def _hash(*tokens: str) -> int:
     return h - 2 * SIGNED if h >= SIGNED else h
 
 
-def places(tokens: list[str]) -> tuple[int, int, int]:
-    """Hashes of a masked line's leaf, of its deeper leaf and of itself."""
-    n = str(len(tokens))
-    return _hash(n, *tokens[:DEPTH]), _hash(n, *tokens[:DEEPER]), _hash(*tokens)
+def places(tokens: list[str]) -> tuple[int, int]:
+    """Hashes of a masked line's leaf and of itself."""
+    return _hash(str(len(tokens)), *tokens[:DEPTH]), _hash(*tokens)
 
 
 def lines_of(docs: DataFrame, row: str, text: str) -> DataFrame:
-    """(row, dd, pos, leaf, deep, line) of every line that is not blank; dd: the text's hash."""
+    """(row, dd, pos, leaf, line) of every line that is not blank; dd: the text's hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, out = [], []
@@ -64,12 +66,12 @@ def lines_of(docs: DataFrame, row: str, text: str) -> DataFrame:
                     at.append(i)
                     out.append((pos, *places(tokens)))
         take = pa.array(at, pa.int64())
-        cols = list(zip(*out)) if out else [()] * 4
+        cols = list(zip(*out)) if out else [()] * 3
         arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])]
-        return pa.RecordBatch.from_arrays(arrays, ["row", "dd", "pos", "leaf", "deep", "line"])
+        return pa.RecordBatch.from_arrays(arrays, ["row", "dd", "pos", "leaf", "line"])
 
     rows = docs.select(F.col(row), F.xxhash64(text).alias("dd"), F.col(text))
-    return map_arrow(rows, run, "row long, dd long, pos int, leaf long, deep long, line long", 256)
+    return map_arrow(rows, run, "row long, dd long, pos int, leaf long, line long", 256)
 
 
 def masked_lines(docs: DataFrame, row: str, text: str, places_: DataFrame) -> DataFrame:
@@ -113,33 +115,56 @@ def drain(lines: list[str], similarity: float) -> tuple[list[int], list[str]]:
     return of, [" ".join(w) for w in words]
 
 
-def templates(docs: DataFrame, text: str, row: str, similarity: float, min_docs: int) -> tuple[DataFrame, DataFrame]:
+def grown(tree: DataFrame, similarity: float, *by: str) -> DataFrame:
+    """(leaf, masked, template) of the masked lines (leaf, masked, n) of each group, grown together."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["n", "masked"], ascending=[False, True], ignore_index=True)
+        of, found = drain(group["masked"].tolist(), similarity)
+        return pd.DataFrame({"leaf": group["leaf"], "masked": group["masked"], "template": [found[k] for k in of]})
+
+    return tree.groupBy(*by).applyInPandas(run, "leaf long, masked string, template string")
+
+
+def grown_wide(tree: DataFrame, similarity: float, max_leaf: int) -> DataFrame:
+    """The same for leaves of more than ``max_leaf`` lines (leaf, masked, n, width), in rounds of batches."""
+    of = cut(tree.select("leaf", "masked", F.col("masked").alias("template")))
+    level, k = tree.select("leaf", "masked", "n", F.col("width").alias("batched")), 0
+    while True:
+        batches = F.ceil(F.col("batched") / F.lit(max_leaf))
+        salted = level.withColumn("batch", F.pmod(F.xxhash64("masked", F.lit(k)), F.greatest(batches, F.lit(1))))
+        step = cut(grown(salted, similarity, "leaf", "batch"))
+        now = of.withColumnRenamed("template", "t").join(step.withColumnRenamed("masked", "t"), ["leaf", "t"], "left")
+        of = cut(now.select("leaf", "masked", F.coalesce("template", "t").alias("template")))
+        # Templates of leaves that were one batch are final.
+        n = level.filter(F.col("batched") > max_leaf).join(step, ["leaf", "masked"]).groupBy("leaf", "template", "batched").agg(F.sum("n").alias("n"))
+        n = cut(n)
+        if n.isEmpty():
+            return of
+        width = n.groupBy("leaf").agg(F.count("*").alias("left"))
+        whole = (F.col("left") <= max_leaf) | (F.col("left") > STALLED * F.col("batched"))
+        level = cut(n.join(width, "leaf").select("leaf", F.col("template").alias("masked"), "n", F.when(whole, F.lit(0)).otherwise(F.col("left")).cast("long").alias("batched")))
+        k += 1
+
+
+def templates(docs: DataFrame, text: str, row: str, similarity: float, min_docs: int, max_leaf: int = MAX_LEAF) -> tuple[DataFrame, DataFrame]:
     """(lines, found): all lines, and (line, template, n_docs) of those in recurring templates."""
     lines = cut(lines_of(docs, row, text))
-    seen = cut(lines.select("leaf", "deep", "line", "dd").distinct())
-    leaves = seen.groupBy("leaf").agg(F.approx_count_distinct("line", 0.02).alias("width"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    deeper = seen.groupBy("deep").agg(F.approx_count_distinct("line", 0.02).alias("deep_width"))
-    big = F.col("width") > MAX_LEAF
-    kept = seen.join(leaves.select("leaf", "width"), "leaf")
-    kept = kept.filter(~big).withColumn("node", F.col("leaf")).union(
-        kept.filter(big).join(deeper, "deep").withColumn("node", F.when(F.col("deep_width") > MAX_LEAF, F.col("line")).otherwise(F.col("deep"))).select(*kept.columns, "node")
-    )
-    count = cut(kept.groupBy("node", "leaf", "line").agg(F.count("*").alias("n")))
-    worth = count.groupBy("node").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select("node")
-    count = cut(count.join(worth, "node", "left_semi"))
+    seen = cut(lines.select("leaf", "line", "dd").distinct())
+    count = seen.groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    leaves = count.groupBy("leaf").agg(F.count("*").alias("width"), F.sum("n").alias("m")).filter(F.col("m") >= min_docs)
+    count = cut(count.join(leaves.select("leaf", "width"), "leaf"))
     first = lines.join(count.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min(F.struct("row", "pos")).alias("p"))
     named = masked_lines(docs, row, text, first.select("line", "p.row", "p.pos"))
-
-    def grown(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "masked"], ascending=[False, True], ignore_index=True)
-        of, found = drain(group["masked"].tolist(), similarity)
-        return pd.DataFrame({"line": group["line"], "template": [found[k] for k in of], "node": group["node"]})
-
-    tree = count.join(named, "line").select("node", "line", "n", "masked")
-    assigned = cut(tree.groupBy("node").applyInPandas(grown, "line long, template string, node long"))
-    docs_of = seen.join(assigned, "line").select("node", "template", "dd").distinct()
-    recur = docs_of.groupBy("node", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    return lines, assigned.join(recur, ["node", "template"]).select("line", "template", "n_docs")
+    tree = cut(count.join(named, "line").select("leaf", "line", "masked", "n", "width"))
+    of = grown(tree.filter(F.col("width") <= max_leaf), similarity, "leaf")
+    wide = tree.filter(F.col("width") > max_leaf)
+    if not wide.isEmpty():
+        of = of.union(grown_wide(wide, similarity, max_leaf))
+    assigned = cut(tree.select("leaf", "line", "masked").join(of, ["leaf", "masked"]).select("leaf", "line", "template"))
+    docs_of = seen.join(assigned, ["leaf", "line"]).select("leaf", "template", "dd").distinct()
+    recur = docs_of.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    return lines, assigned.join(recur, ["leaf", "template"]).select("line", "template", "n_docs")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.7, min_docs: int = 10) -> DataFrame:
