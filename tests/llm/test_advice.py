@@ -2,7 +2,9 @@
 
 import random
 
-from spindle.llm import line_templates
+import numpy as np
+
+from spindle.llm import compact_windows, line_templates
 
 RNG = random.Random(11)
 
@@ -41,3 +43,35 @@ def test_op3_wide_leaves_of_several_rounds(spark):
     got = {r["template"]: r["n_docs"] for r in found.select("template", "n_docs").distinct().collect()}
     assert got == {"alpha beta gamma delta <*>": 60, "one two three aaa bbb ccc ddd <*>": 40}
     assert found.count() == 100 and lines.count() == 140
+
+
+def words(n):
+    return " ".join(word(6) for _ in range(n))
+
+
+def test_op8_passage_once_here_and_twice_there(spark):
+    """In both orders of the keys, which are hashes of the texts."""
+    texts, once = [], {}
+    for k in range(8):
+        passage = words(54)
+        once[2 * k] = f"{words(30)} {passage} {words(40)}"
+        texts += [once[2 * k], f"{words(70)} {passage} {words(80)} {passage} {words(50)}"]
+    docs = docs_of(spark, texts)
+    keys = [r["k"] for r in docs.selectExpr("xxhash64(text) k").collect()]
+    assert {keys[i] < keys[i + 1] for i in range(0, 16, 2)} == {True, False}
+    got = {r["doc_id"]: r for r in compact_windows.near_passages(docs).collect()}
+    assert [got[i]["n_links"] for i in range(16)] == [1] * 16
+    assert [got[i]["class_id"] for i in range(16)] == [i - i % 2 for i in range(16)]
+    holds = lambda r, f, t: any(s["f"] <= f + 2 and t - 2 <= s["t"] for s in r["spans"])
+    for i in range(0, 16, 2):
+        assert holds(got[i], 30, 84) and holds(got[i + 1], 70, 124) and holds(got[i + 1], 204, 258)
+
+
+def test_op8_verify_parts_places_by_diagonal():
+    """Two functions that join at different places: every neighbour is on the other copy's diagonal."""
+    some = lambda n: np.array([RNG.getrandbits(32) for _ in range(n)], np.uint32)
+    a = some(54)
+    b = np.concatenate([some(70), a, some(76), a, some(50)])
+    at = lambda *v: np.array(v, np.int64)
+    fa, fb = compact_windows.verify(a, 0, b, 0, at(0, 0, 1, 1), at(10, 10, 30, 30), at(80, 210, 100, 230), 0.8)
+    assert fa and all(any(f <= q + 2 and q + 52 <= t for f, t in fb) for q in (70, 200))
