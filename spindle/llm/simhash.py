@@ -28,6 +28,10 @@ from .common import GOLDEN, U64, binary_texts, components, cut, free_name, map_a
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_DISTANCE = 5
 CHUNK = 1 << 16
+#: A shingle that more texts share, besides the largest cluster's, comes late in the prefixes' order.
+COMMON = 50
+#: Shingles put last at most: what the driver holds of them. All others keep their place.
+MAX_LATE = 1 << 19
 
 
 def shingle_digests(words: list[bytes], n: int, seed: int = 42) -> list[int]:
@@ -176,15 +180,60 @@ def hamming_components(prints: DataFrame, id_col: str = "doc_id", within: int =
     return prints.join(of, F.col("fp0") == F.col("__fp")).drop("__fp")
 
 
+def prefix_rows(rows: DataFrame, words: int, similarity: float, late: set[int] = frozenset()) -> DataFrame:
+    """(key, node): the first shingle hashes of every text (node, text), in the order of the hashes.
+
+    Of n distinct shingles the first n - ceil(similarity n) + 1 are taken: two sets of that
+    similarity share one of them, whatever the order, if it is the same for all texts.  Those in
+    ``late`` come after all others.
+    """
+    last = np.array(sorted(late), "<u8")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, at = [], []
+        for i, t in enumerate(binary_texts(batch.column(1))):
+            own = np.unique(np.array(shingle_digests(t.lower().split(), words), "<u8"))
+            if len(own):
+                if len(last):
+                    own = own[np.argsort(np.isin(own, last), kind="stable")]
+                own = own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+                keys.append(own), at.append(np.full(len(own), i))
+        take = pa.array(np.concatenate(at) if at else [], pa.int64())
+        packed = pa.array(np.concatenate(keys).view("<i8") if keys else [], pa.int64())
+        return pa.RecordBatch.from_arrays([packed, batch.column(0).take(take)], ["key", "node"])
+
+    return map_arrow(rows.select("node", "text"), run, "key long, node long", 256)
+
+
+def shared_prefixes(keyed: DataFrame) -> DataFrame:
+    """The distinct (key, node) of ``keyed`` whose key several nodes hold."""
+    twice = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
+    return keyed.join(twice, "key").distinct()
+
+
+def mixed_prefixes(shared: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(key, node, cluster, n, major) where nodes of several clusters share the key.
+
+    n: the key's nodes outside ``major``, its largest cluster.
+    """
+    held = with_component(shared, clusters, "node", "cluster")
+    sizes = held.groupBy("key", "cluster").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg((F.sum("c") - F.max("c")).alias("n"), F.max_by("cluster", F.struct("c", "cluster")).alias("major"))
+    return held.join(keys.filter("n > 0"), "key")
+
+
 def near_duplicate_links(rows: DataFrame, reps: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4) -> DataFrame:
     """(a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    ``rows`` (node, o, text) are the texts; ``reps`` (node, o) name one row of each.  ``count``
-    independent fingerprints give 3 x ``count`` segments; a pair is a candidate if any of them
-    differs in at most one bit, and the exact similarity of the shingle sets decides.  At
-    similarity s the share of differing bits is acos(2s / (1 + s)) / pi; candidates may differ
-    in six standard deviations more.  Fingerprints are joined one after the other, so that only
-    one index is on disk at a time, and pairs already connected are not looked at again.
+    ``rows`` (node, o, text) are the texts; ``reps`` (node, o) name one row of each.  Not all
+    pairs come out, but enough to connect all that are similar.
+
+    ``count`` fingerprints link dense clusters (two equal segments).  Then texts are joined by
+    the shingles of their prefixes, which no similar pair escapes: first each text with the least
+    of every shared shingle, so that groups of near copies fall into one cluster, then all pairs
+    from different clusters.  Shingles that very many clusters share are put last in the order.
+    At similarity s the share of differing bits is acos(2s / (1 + s)) / pi; pairs that differ in
+    six standard deviations more are left out, and the exact similarity decides on the others.
     """
     fps = [f"fp{j}" for j in range(count)]
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -192,11 +241,36 @@ def near_duplicate_links(rows: DataFrame, reps: DataFrame, words: int = 5, simil
     within = int(bits * share + 6 * np.sqrt(bits * share * (1 - share)))
     prints = cut(fingerprints(rows, "node", "text", words, count).dropDuplicates(["node"]))
     links = cut(verified(cut(coarse_links(prints, fps, within)), rows, reps, words, similarity))
-    for number in range(count):
-        grouped = cut(with_component(prints, components(links), "node", "cluster"))
-        found = cut(variant_links(grouped, fps, within, number))
-        links = cut(links.union(verified(found, rows, reps, words, similarity)))
-        release(rows.sparkSession)
+    keyed = cut(prefix_rows(rows, words, similarity))
+    shared = cut(shared_prefixes(keyed))
+    release(rows.sparkSession)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) near enough by their fingerprints."""
+        a = prints.select(F.col("node").alias("a"), F.struct(*fps).alias("x"))
+        b = prints.select(F.col("node").alias("b"), F.struct(*fps).alias("y"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.join(a, "a").join(b, "b").filter(_distance(fps, "x", "y") <= within).select("a", "b")
+
+    def starred(shared: DataFrame, links: DataFrame) -> DataFrame:
+        mixed = mixed_prefixes(shared, cut(components(links)))
+        least = mixed.groupBy("key").agg(F.min_by(F.struct("node", "cluster"), "node").alias("l"))
+        star = mixed.join(least, "key").filter("cluster <> l.cluster").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+        return cut(links.union(verified(cut(near(star)), rows, reps, words, similarity)))
+
+    links = starred(shared, links)
+    mixed = cut(mixed_prefixes(shared, cut(components(links))))
+    often = mixed.filter(F.col("n") > COMMON).select("key", "n").distinct().orderBy(F.desc("n"), "key").limit(MAX_LATE)
+    late = {r["key"] & 0xFFFFFFFFFFFFFFFF for r in often.collect()}
+    if late:
+        shared = cut(shared_prefixes(cut(prefix_rows(rows, words, similarity, late))))
+        links = starred(shared, links)
+        mixed = cut(mixed_prefixes(shared, cut(components(links))))
+    x = mixed.filter("cluster <> major").select("key", F.col("node").alias("a"), F.col("cluster").alias("ca"))
+    y = mixed.select("key", F.col("node").alias("b"), F.col("cluster").alias("cb"), "major")
+    pairs = x.join(y, "key").filter("ca <> cb AND (cb = major OR a < b)").select("a", "b")
+    links = cut(links.union(verified(cut(near(pairs)), rows, reps, words, similarity)))
+    release(rows.sparkSession)
     return links
 
 

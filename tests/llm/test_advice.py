@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from spindle.llm import compact_windows, line_templates
+from spindle.llm import compact_windows, line_templates, simhash
 
 RNG = random.Random(11)
 
@@ -75,3 +75,34 @@ def test_op8_verify_parts_places_by_diagonal():
     at = lambda *v: np.array(v, np.int64)
     fa, fb = compact_windows.verify(a, 0, b, 0, at(0, 0, 1, 1), at(10, 10, 30, 30), at(80, 210, 100, 230), 0.8)
     assert fa and all(any(f <= q + 2 and q + 52 <= t for f, t in fb) for q in (70, 200))
+
+
+def test_near_dedup_finds_isolated_pairs(spark):
+    """Pairs of texts at a similarity of 0.80 to 0.82 with no third copy, which share a common line."""
+    texts = []
+    for k in range(150):
+        w = words(200).split()
+        v = list(w)
+        for at in (20, 60, 100, 140):
+            v[at] = word(7)
+        v += [word(7), word(7)] if k % 2 else []
+        texts += [" ".join(w), " ".join(v)]
+    like = lambda a, b: len(a & b) / len(a | b)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    assert {round(like(sets[i], sets[i + 1]), 2) for i in range(0, 300, 2)} <= {0.8, 0.81, 0.82}
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs_of(spark, texts)).collect()}
+    assert kept == set(range(0, 300, 2))
+
+
+def test_near_dedup_common_shingles(spark, monkeypatch):
+    """Shingles that most texts share are put last, and no pair is lost."""
+    monkeypatch.setattr(simhash, "COMMON", 5)
+    line = words(60)
+    texts = []
+    for _ in range(20):
+        w = words(100).split()
+        v = list(w)
+        v[30] = v[70] = "other"
+        texts += [" ".join([line, *w]), " ".join([*v, line])]
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs_of(spark, texts)).collect()}
+    assert kept == set(range(0, 40, 2))
