@@ -1,6 +1,6 @@
 """Language identification by compression with per-language dictionaries.
 
-``learn`` puts whole labelled texts of each language into a raw-content zstandard dictionary
+``learn`` puts labelled texts of each language, long ones cut to ``PIECE``, into a raw-content zstandard dictionary
 of at most ``DICT_BYTES`` (a bounded sample, see ``SAMPLE_DOCS``).  ``identify`` compresses
 every whole text, in blocks, with each dictionary; the language with the smallest output
 wins.  A text whose two best languages are within ``MIN_MARGIN`` of its size is rejected
@@ -24,6 +24,8 @@ from .common import map_arrow, texts
 DICT_BYTES = 112 << 10
 #: Labelled texts per language that the dictionaries may see.
 SAMPLE_DOCS = 160
+#: Characters of a longer labelled text that a dictionary may see, from its first letter on.
+PIECE = DICT_BYTES // 6
 BLOCK = 16 << 10
 LEVEL = 6
 #: Least lead of the best language, in output bytes per input byte.
@@ -40,7 +42,8 @@ def prepared(text: str) -> bytes:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary from the rows of ``docs`` with a text and a language.
 
-    The rows are picked by a hash of the id, per language, whole; what a language needs at most
+    The rows are picked by a hash of the id, per language, and texts of over PIECE characters
+    give that many from their first letter on; what a language needs at most
     reaches the driver: SAMPLE_DOCS texts.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -51,7 +54,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 3 * SAMPLE_DOCS / n))).otherwise(share)
-    some = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).filter(F.length("text") <= DICT_BYTES // 6)
+    some = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    some = some.withColumn("text", F.when(F.length("text") > PIECE, F.expr(rf"substring(text, regexp_instr(text, r'\p{{L}}'), {PIECE})")).otherwise(F.col("text")))
     order = Window.partitionBy("lang").orderBy("h", "text")
     some = some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS)
     found: dict[str, list[bytes]] = {lang: [] for lang in counts}

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from spindle.llm import compact_windows, line_templates, simhash
+from spindle.llm import compact_windows, langid, line_templates, simhash
 
 RNG = random.Random(11)
 
@@ -106,3 +106,16 @@ def test_near_dedup_common_shingles(spark, monkeypatch):
         texts += [" ".join([line, *w]), " ".join([*v, line])]
     kept = {r["doc_id"] for r in simhash.near_dedup(docs_of(spark, texts)).collect()}
     assert kept == set(range(0, 40, 2))
+
+
+def test_op5_language_of_long_texts_only(spark):
+    """A language whose labelled texts are all longer than PIECE has a dictionary."""
+    own = {lang: [word(7) for _ in range(200)] for lang in ("aa", "bb")}
+    say = lambda lang, n: " ".join(RNG.choice(own[lang]) for _ in range(n))
+    rows = [(k, "1 " * 20_000 * (lang == "bb") + say(lang, 4_000 if lang == "bb" else 300), lang) for k, lang in enumerate(["aa", "bb"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(r[1]) for r in rows if r[2] == "bb") > langid.PIECE
+    made = langid.learn(docs)
+    assert set(made) == {"aa", "bb"} and max(map(len, made.values())) <= langid.DICT_BYTES + 200
+    got = langid.identify(docs, made, ["doc_id", "lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
