@@ -22,9 +22,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import GOLDEN, U64, WordTable, map_arrow, mix64, shingle_hashes, texts, word_hashes
 
@@ -135,18 +137,22 @@ class Index:
         return out
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.8) -> DataFrame:
-    """(id, item id, n_shingles, n_shared, containment) for every document that holds an item."""
+def item_blocks(items: DataFrame, item_col: str, item_text: str) -> list[list[tuple]]:
+    """The items (id, text) in blocks of about BLOCK_BYTES of text at most; one block at least."""
     tests = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("words")).filter(F.col("words").isNotNull())
     size = tests.agg(F.sum(F.length("words") + 64)).first()[0] or 0
-    blocks = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
+    blocks = -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
+    return [[(r["item"], r["words"]) for r in (tests.filter(block == b) if blocks > 1 else tests).collect()] for b in range(blocks)]
+
+
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.8) -> DataFrame:
+    """(id, item id, n_shingles, n_shared, containment) for every document that holds an item."""
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, n_shingles long, n_shared long, containment double"
     narrow = docs.select(id_col, text_col)
     out = None
-    for b in range(blocks):
-        part = tests.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else tests
-        rows = [(r["item"], r["words"]) for r in part.collect()]
+    for rows in item_blocks(items, item_col, item_text):
         found = map_arrow(narrow, _searcher(rows, id_col, item_col, items, least), schema)
         out = found if out is None else out.union(found)
     return out
@@ -154,6 +160,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 def _searcher(rows: list[tuple], id_col: str, item_col: str, items: DataFrame, least: float):
     made: list = []
+    kind = to_arrow_type(items.schema[item_col].dataType)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
@@ -166,22 +173,40 @@ def _searcher(rows: list[tuple], id_col: str, item_col: str, items: DataFrame, l
                 at.append(i), got.append(m)
         ids = batch.column(0).take(pa.array(at, pa.int64()))
         cols = list(zip(*got)) if got else [(), (), (), ()]
-        kinds = [pa.int64() if got and isinstance(got[0][0], int) else None, pa.int64(), pa.int64(), pa.float64()]
+        kinds = [kind, pa.int64(), pa.int64(), pa.float64()]
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds))], [id_col, item_col, "n_shingles", "n_shared", "containment"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the rows that hold a test item; rows are told apart by id and text."""
-    print_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.struct(F.col(id_col).alias("i"), print_.alias("h")).alias("__row"), F.col(text_col).alias("__text"))
-    bad = contained(rows, items, "__row", "__text", **kw).select("__row").distinct()
-    bad = bad.select(F.col("__row.i").alias("__i"), F.col("__row.h").alias("__h"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__i")) & (print_ == F.col("__h")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.8) -> DataFrame:
+    """``docs``, all columns, without the rows whose text holds a test item.
+
+    Every row is judged by its own text, so nothing is shuffled and no column name can clash;
+    rows without a text stay.
+    """
+    out = docs
+    for rows in item_blocks(items, item_col, item_text):
+        out = out.filter(~_holds(rows, least)(F.coalesce(F.col(text_col), F.lit(""))))
+    return out
+
+
+def _holds(rows: list[tuple], least: float):
+    made: list = []
+
+    @F.pandas_udf("boolean")
+    def holds(column: pd.Series) -> pd.Series:
+        if not made:
+            table = WordTable()
+            made.extend([Index(rows, table), table])
+        index, table = made
+        return pd.Series([bool(index.matches(t, table, least)) for t in column], dtype=bool)
+
+    return holds
 
 
 def op9(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Every (document, test item) of containment 0.8 or more; no row where none is held."""
     return contained(docs, items)
 
 
