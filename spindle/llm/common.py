@@ -66,6 +66,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -78,6 +83,29 @@ def free_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def text_key(rows: DataFrame, *cols: str) -> Column:
+    """A 64-bit key of the columns that no two different values share.
+
+    XXH64, but for keys that a count by 128-bit digests finds under several values: those are
+    hashed again with a salt.  At 10^10 values about three are expected, so few reach the driver.
+    """
+    salts: list[list[int]] = []
+    whole = F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols)))
+
+    def key() -> Column:
+        out = F.xxhash64(*cols)
+        for salt, shared in enumerate(salts, 1):
+            out = F.when(out.isin(shared), F.xxhash64(*cols, F.lit(salt))).otherwise(out)
+        return out
+
+    while True:
+        prints = rows.select(key().alias("k"), whole.alias("p")).groupBy("k").agg(F.min("p").alias("x"), F.max("p").alias("y"))
+        shared = [r["k"] for r in prints.filter("x <> y").select("k").collect()]
+        if not shared:
+            return key()
+        salts.append(shared)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
