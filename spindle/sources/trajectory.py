@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -63,8 +64,12 @@ def dcd_box(cell) -> list[float] | None:
     return box_matrix(c[0], c[2], c[5], *(90.0 if abs(c[i]) < 1e-6 else c[i] for i in (4, 3, 1)))
 
 
-def dcd_index(read: Read, size: int) -> list[tuple[int, int, float, int]]:
-    """(place, bytes, time, atoms) of every whole frame; the file's size tells how many there are."""
+def dcd_index(read: Read, size: int, unit: float = 1.0) -> list[tuple[int, int, float, int]]:
+    """(place, bytes, time, atoms) of every whole frame; the file's size tells how many there are.
+
+    Times are in the file's own unit, or ``unit`` of another for each of it; in steps where
+    the file has no time step.
+    """
     if size < 92:
         raise bad("DCD: shorter than its header", "TRUNCATED_TRAJECTORY")
     head = read(0, 92)
@@ -85,7 +90,7 @@ def dcd_index(read: Read, size: int) -> list[tuple[int, int, float, int]]:
     frames = (size - at) // stride if atoms > 0 else 0
     if frames < 1:
         raise bad("DCD: no complete frame", "TRUNCATED_TRAJECTORY")
-    unit = delta * AKMA_PS if 0 < delta < float("inf") else 1.0
+    unit = delta * unit if 0 < delta < float("inf") else 1.0
     step = max(1, words[2])
     return [(at + i * stride, stride, (words[1] + i * step) * unit, atoms) for i in range(frames)]
 
@@ -276,9 +281,11 @@ def _read_at(file) -> Read:
     return lambda at, n: file.read_at(n, at)
 
 
-def frame_index(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def frame_index(spark: SparkSession, path: str, kind: str | None = None, picoseconds: bool = False) -> DataFrame:
     """(file, frame, place, bytes, time, atoms) of every whole frame of the files under ``path``."""
     index = INDEX[format_of(path, kind)]
+    if picoseconds and index is dcd_index:
+        index = partial(dcd_index, unit=AKMA_PS)
     names = ["file", "frame", "place", "bytes", "time", "atoms"]
     files = spark.read.format("binaryFile").load(path)
     ranged = _is_ranged(path)
@@ -303,10 +310,10 @@ def _is_ranged(path: str) -> bool:
     return (path.split(":", 1)[0] if ":" in path.split("/", 1)[0] else "file") in RANGED
 
 
-def _frames(spark: SparkSession, path: str, kind: str | None, emit, schema: str) -> DataFrame:
+def _frames(spark: SparkSession, path: str, kind: str | None, picoseconds: bool, emit, schema: str) -> DataFrame:
     """Rows that ``emit`` (file, frame, time, box, positions, velocities) makes of every frame."""
     decode = DECODE[format_of(path, kind)]
-    index = frame_index(spark, path, kind)
+    index = frame_index(spark, path, kind, picoseconds)
     if not _is_ranged(path):
         files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
         index = index.join(files, "file").select(*index.columns, F.expr("substring(content, CAST(place AS INT) + 1, CAST(bytes AS INT))").alias("data"))
@@ -333,10 +340,11 @@ def _frames(spark: SparkSession, path: str, kind: str | None, emit, schema: str)
     return held.mapInPandas(run, schema)
 
 
-def read_frames(spark: SparkSession, path: str, kind: str | None = None, velocities: bool = False) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, kind: str | None = None, velocities: bool = False, picoseconds: bool = False) -> DataFrame:
     """Frames of one or many files; the format by name or by extension.
 
-    Positions are in Angstrom, times in picoseconds (steps where a DCD file has no time step);
+    Positions are in Angstrom, times in picoseconds (of DCD files in the file's unit unless
+    ``picoseconds``, and in steps where it has no time step);
     velocities (null where a frame has none) in Angstrom a picosecond.
     """
 
@@ -346,16 +354,16 @@ def read_frames(spark: SparkSession, path: str, kind: str | None = None, velocit
             rows |= {f"v{c}": None if v is None else v[:, k] for k, c in enumerate("xyz")}
         return pd.DataFrame(rows)
 
-    return _frames(spark, path, kind, emit, VELOCITY_ROWS if velocities else FRAME_ROWS)
+    return _frames(spark, path, kind, picoseconds, emit, VELOCITY_ROWS if velocities else FRAME_ROWS)
 
 
-def read_boxes(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def read_boxes(spark: SparkSession, path: str, kind: str | None = None, picoseconds: bool = False) -> DataFrame:
     """(file, frame, time, box) of the frames that have one: nine values, column-major."""
 
     def emit(file, frame, time, box, xyz, v):
         return pd.DataFrame({"file": [file], "frame": [frame], "time": [time], "box": [box]}).iloc[: int(box is not None)]
 
-    return _frames(spark, path, kind, emit, "file string, frame int, time double, box array<double>")
+    return _frames(spark, path, kind, picoseconds, emit, "file string, frame int, time double, box array<double>")
 
 
 def read_ccp4(spark: SparkSession, path: str, most: int = 256**3) -> DataFrame:

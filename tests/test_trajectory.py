@@ -118,7 +118,7 @@ def positions(rows, n):
 @pytest.mark.parametrize("end", "<>")
 def test_dcd(spark, tmp_path, end):
     frames = [walk(12), walk(12), walk(12)]
-    path, rows = read(spark, tmp_path, dcd(frames, end, (10, 0, 20, 0, 0, 30), cut=5), "a.dcd")
+    path, rows = read(spark, tmp_path, dcd(frames, end, (10, 0, 20, 0, 0, 30), cut=5), "a.dcd", picoseconds=True)
     assert np.allclose(positions(rows, 12), frames[:2])
     assert sorted({round(r["time"], 6) for r in rows}) == [round((10 + 5 * k) * 0.5 * T.AKMA_PS, 6) for k in range(2)]
     boxes = T.read_boxes(spark, path).orderBy("frame").collect()
