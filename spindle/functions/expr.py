@@ -420,22 +420,34 @@ class Evaluator:
         return self._again(sets, self._whole(rows) if named.get("as-whole-residues") else rows)
 
     def _surrounding_ligands(self, args, named) -> Sets:
-        """Near residues; ligands grow along covalent and metallic bonds; waters on request."""
+        """The query, and ligands that a near residue leads to by listed covalent or metallic connections.
+
+        Near are the whole residues within the radius; a ligand is a residue of a chain whose entity
+        is neither polymer nor water.  On request also the water atoms near all of these.
+        """
+        if "entityType" not in self.input.columns:
+            raise ExpressionError("surrounding-ligands needs chains.entityType")
         radius = self._number(named.get("radius"), 5)
-        near = self._include_surroundings([args[0]], {"radius": radius}).flat()
-        base = self.input.withColumn("__water", F.col("residueComp").isin(*S.WATERS))
-        touched = base.join(near, "atom", "left_semi").select("residue", "polymer", "__water").distinct()
-        own = base.join(self(args[0]).flat(), "atom", "left_semi").select("residue")
-        ligands = touched.filter((F.col("polymer") == "other") & ~F.col("__water")).select("residue")
-        bonds = graph.bond_graph(self.s).filter(F.expr("(flags & 3) <> 0"))
-        of = base.filter(F.col("polymer") == "other").select("atom", "residue")
-        steps = bonds.join(of.select(F.col("atom").alias("a"), F.col("residue").alias("ra")), "a").join(of.select(F.col("atom").alias("b"), F.col("residue").alias("rb")), "b")
-        grown = graph.reach(ligands.select(F.col("residue").alias("node")), steps.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        keep = grown.select(F.col("node").alias("residue")).union(own)
+        inner = self(args[0]).flat().distinct()
+        kind = F.coalesce(F.col("entityType"), F.lit(""))
+        base = self.input.withColumn("__kind", kind).select("atom", "residue", "__kind", "x", "y", "z")
+        seeds = base.join(inner, "atom", "left_semi")
+        touched = base.join(spatial.within(base, seeds, radius), "atom", "left_semi")
+        start = touched.filter(~F.col("__kind").isin("water", "polymer")).select(F.col("residue").alias("node")).distinct()
+        reached = start
+        if self.s.links is not None:
+            links = self.s.links.filter("source = 'struct_conn' AND flags IN (1, 2)").select("a", "b")
+            of = self.s.atoms.select("atom", "residue")
+            for end in "ab":
+                links = links.join(of.select(F.col("atom").alias(end), F.col("residue").alias(f"r{end}")), end)
+            steps = links.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            reached = graph.reach(start, steps)
+        grown = base.filter("__kind <> 'water'").join(reached.select(F.col("node").alias("residue")), "residue", "left_semi").select("atom")
+        rows = inner.union(grown).distinct()
         if named.get("include-water"):
-            keep = keep.union(touched.filter("__water").select("residue"))
-        rows = base.join(keep.distinct(), "residue", "left_semi").select(F.lit(0).cast("long").alias("set_id"), "atom")
-        return Sets(rows, False)
+            near = spatial.within(base.filter("__kind = 'water'"), base.join(rows, "atom", "left_semi"), radius)
+            rows = rows.union(near).distinct()
+        return Sets(rows.select(F.lit(0).cast("long").alias("set_id"), "atom"), False)
 
     def _edges(self, test: Any) -> DataFrame:
         """Both directions of the bonds inside the input that pass a test (default: covalent)."""
@@ -499,16 +511,17 @@ class Evaluator:
         invert = bool(named.get("invert"))
         mode_a = low is None
         rad = S.by_number(F.col("element"), S.QUERY_RADII) if mode_a else self._radii(named.get("atom-radius"))
-        points = self.input.select("atom", "x", "y", "z", F.coalesce(F.nanvl(rad, F.lit(0.0)), F.lit(0.0)).alias("rad"))
-        own, there = sets.rows.join(points, "atom"), points.join(target, "atom", "left_semi")
+        # No comparison with NaN holds: an atom whose radius is unknown is in no pair.
+        points = self.input.select("atom", "x", "y", "z", F.coalesce(rad, F.lit(0.0)).alias("rad")).filter(~F.isnan("rad"))
+        own = sets.rows.join(points, "atom")
+        there = points.join(target, "atom", "left_semi") if not mode_a else self.input.select("atom", "x", "y", "z", F.lit(0.0).alias("rad")).join(target, "atom", "left_semi")
         widest = points.agg(F.max("rad")).first()[0] or 0.0
         distance = F.sqrt(spatial.squared_distance("l", "r"))
         if mode_a:
             near = spatial.near_pairs(own, there, most + widest, distance <= F.lit(most) + F.col("l.rad"))
             return self._kept(sets, near.select(F.col("l_set_id").alias("set_id")), "left_anti" if invert else "left_semi")
         least = self._number(low, 0)
-        empty = there.isEmpty()
-        if empty:
+        if target.isEmpty():
             return self._kept(sets, sets.rows, "left_anti" if invert else "left_semi")
         pairs = spatial.near_pairs(own, there, most + 2 * widest)
         d = F.greatest(F.lit(0.0), F.sqrt("d2") - F.col("l_rad") - F.col("r_rad"))
@@ -542,11 +555,20 @@ class Evaluator:
 
 
 def unique_sets(rows: DataFrame) -> DataFrame:
-    """(set_id, atom) with each distinct set once, under the id of its first."""
-    rows = rows.distinct()
-    same = rows.groupBy("set_id").agg(F.array_sort(F.collect_list("atom")).alias("atoms"))
-    one = same.groupBy("atoms").agg(F.min("set_id").alias("set_id"))
-    return one.select(F.xxhash64("set_id").alias("set_id"), F.explode("atoms").alias("atom"))
+    """(set_id, atom) with each distinct set once, under a number of its own.
+
+    Sets are told apart by their size and two digests of their atoms; sets with equal ones are
+    compared atom by atom, so no set needs to fit a row.
+    """
+    rows = graph.cut(rows.distinct())
+    sums = rows.groupBy("set_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("atom")).alias("x"), F.sum(F.xxhash64("atom", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    lead = sums.groupBy("n", "x", "s").agg(F.min("set_id").alias("lead"))
+    of = graph.cut(sums.join(lead, ["n", "x", "s"]).select("set_id", "lead", "n"))
+    copies = of.filter(F.col("set_id") != F.col("lead"))
+    there = rows.select(F.col("set_id").alias("lead"), "atom")
+    shared = rows.join(copies, "set_id").join(there, ["lead", "atom"]).groupBy("set_id", "n").agg(F.count("*").alias("m")).filter("m = n")
+    kept = graph.cut(of.join(shared, "set_id", "left_anti").select("set_id")).withColumn("number", F.monotonically_increasing_id())
+    return rows.join(kept, "set_id").select(F.col("number").alias("set_id"), "atom")
 
 
 def evaluate(s: Structure, tree: Any, universe: DataFrame | None = None) -> Sets:

@@ -82,13 +82,28 @@ def box_matrix(a: Column, b: Column, c: Column, alpha: Column, beta: Column, gam
     return F.array(a, zero, zero, b * cg, b * sg, zero, c * cb, cy, cz)
 
 
-def minimum_image_triclinic(d: np.ndarray, box: np.ndarray) -> np.ndarray:
-    """Shortest lattice images of differences (n, 3); rows of ``box`` are lattice vectors."""
-    frac = d @ np.linalg.inv(box)
-    base = d - np.floor(frac + 0.5) @ box
-    shifts = np.array([(i, j, k) for i in (0, -1, 1) for j in (0, -1, 1) for k in (0, -1, 1)]) @ box
-    every = base[:, None, :] + shifts[None]
-    return every[np.arange(len(d)), (every**2).sum(2).round(12).argmin(1)]
+def minimum_image_triclinic(d: np.ndarray, box: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """Shortest lattice images of differences (n, 3); rows of ``box`` are lattice vectors.
+
+    The nearest of the 27 images around the rounded one bounds how far another can be; all
+    within that bound are tried, and of equally near ones the least lattice vector counts.
+    """
+    inverse = np.linalg.inv(box)
+    frac = d @ inverse
+    seed = np.floor(frac + 0.5)
+    around = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], float)
+    near = (((d - seed @ box)[:, None, :] - (around @ box)[None]) ** 2).sum(2).min(1)
+    radius = np.sqrt(near) * np.linalg.norm(inverse) + 1e-9
+    out = np.empty_like(d)
+    for i in range(len(d)):
+        low, high = np.ceil(frac[i] - radius[i]), np.floor(frac[i] + radius[i])
+        if np.prod(high - low + 1) > most:
+            raise ValueError("the box is too skew: too many images to try")
+        shifts = np.stack(np.meshgrid(*(np.arange(a, b + 1) for a, b in zip(low, high)), indexing="ij"), axis=-1).reshape(-1, 3)
+        every = d[i] - shifts @ box
+        squared = (every**2).sum(1)
+        out[i] = every[int(np.argmax(squared <= squared.min() + 1e-12 * max(squared.min(), 1e-30)))]
+    return out
 
 
 def unwrap(frames: DataFrame, tree: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -238,13 +253,34 @@ def philox(counter: np.ndarray, key: tuple[int, int]) -> np.ndarray:
     return c
 
 
+# Coefficients of the single-precision inverse error function, highest power first.
+ERFINV_CENTRE = (2.81022636e-08, 3.43273939e-07, -3.5233877e-06, -4.39150654e-06, 0.00021858087, -0.00125372503, -0.00417768164, 0.246640727, 1.50140941)
+ERFINV_TAIL = (-0.000200214257, 0.000100950558, 0.00134934322, -0.00367342844, 0.00573950773, -0.0076224613, 0.00943887047, 1.00167406, 2.83297682)
+
+
+def word_normals(words: np.ndarray) -> np.ndarray:
+    """Standard normals of 32-bit words by the inverse error function, in single precision."""
+    f = np.float32
+    u = ((words.astype(np.uint64) >> np.uint64(9)).astype(float) + 0.5) * 2.0**-23
+    u = u.astype(f)
+    x = f(2) * u - f(1)
+    w = -np.log((f(4) * u * (f(1) - u)).astype(float)).astype(f)
+
+    def horner(coefficients, at):
+        out = np.full_like(at, f(coefficients[0]))
+        for c in coefficients[1:]:
+            out = f(c) + out * at
+        return out
+
+    p = np.where(w < 5, horner(ERFINV_CENTRE, w - f(2.5)), horner(ERFINV_TAIL, np.sqrt(w) - f(3)))
+    return (f(math.sqrt(2)) * p * x).astype(f)
+
+
 def normals(seed: int, step: int, nodes: int) -> np.ndarray:
     """(nodes, 3) standard normals that depend on (seed, step, node) alone."""
     counter = np.zeros((nodes, 4), np.uint64)
-    counter[:, 0], counter[:, 1] = np.arange(nodes), step
-    u = (philox(counter, (seed & 0xFFFFFFFF, seed >> 32)).astype(float) + 0.5) / 2**32
-    r, a = np.sqrt(-2 * np.log(u[:, 0:2])), 2 * np.pi * u[:, 2:4]
-    return np.stack([r[:, 0] * np.cos(a[:, 0]), r[:, 0] * np.sin(a[:, 0]), r[:, 1] * np.cos(a[:, 1])], axis=1)
+    counter[:, 0] = np.arange(nodes)
+    return word_normals(philox(counter, (seed & 0xFFFFFFFF, step & 0xFFFFFFFF))[:, :3]).astype(float)
 
 
 def langevin(nodes: DataFrame, springs: DataFrame, replicas: list[int], steps: int, dt: float = 0.02, friction: float = 1.0, kt: float = 0.6, stiffness: float = 1.0, mass: float = 1.0) -> DataFrame:
@@ -286,6 +322,19 @@ def langevin(nodes: DataFrame, springs: DataFrame, replicas: list[int], steps: i
     return rows.groupBy("replica").cogroup(edges.groupBy("replica")).applyInPandas(run, "replica long, atom long, x double, y double, z double, temperature double")
 
 
+def component_centroids(atoms: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component, n, x, y, z): centroids of the components (node, component) of atoms."""
+    rows = atoms.join(parts.withColumnRenamed("node", "atom"), "atom")
+    return rows.groupBy("component").agg(F.count("*").alias("n"), *(F.avg(F.col(c).cast("double")).alias(c) for c in "xyz"))
+
+
+def kinetic_temperature(velocities: DataFrame, masses: DataFrame | None = None, gas: float = 0.0019872043, degrees: int = 3) -> DataFrame:
+    """(n, temperature): sum of m v squared over (degrees n R); velocities (atom, vx, vy, vz)."""
+    rows = velocities.withColumn("mass", F.lit(1.0)) if masses is None else velocities.join(masses.select("atom", "mass"), "atom")
+    v2 = F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")
+    return rows.agg(F.count("*").alias("n"), (F.sum(F.col("mass") * v2) / (F.count("*") * degrees * F.lit(gas))).alias("temperature"))
+
+
 def residue_net_charge(residues: DataFrame, atoms: DataFrame, charge: str = "charge") -> DataFrame:
     """(residue, charge) of every residue, 0 where no atom has a charge."""
     sums = atoms.groupBy("residue").agg(F.sum(F.col(charge).cast("double")).alias("charge"))

@@ -23,6 +23,8 @@ class Field:
     domain: str
     kind: str
     columns: dict
+    #: Volumes that the field samples; None stands for the nearest one.
+    volumes: tuple = ()
 
     @property
     def value(self) -> Column:
@@ -56,7 +58,7 @@ def categorical(x: Field, cases: dict, fallback) -> Field:
         for k in reversed(order):
             out = F.when(F.abs(x.value - F.lit(float(k))) < 0.5, made[k].columns[c]).otherwise(out)
         cols[c] = out
-    return Field(x.domain, other.kind, cols)
+    return Field(x.domain, other.kind, cols, x.volumes)
 
 
 def linear(x: Field, domain: tuple = (0, 1), range_: tuple = (0, 1), overflow: str = "clamp") -> Field:
@@ -73,7 +75,7 @@ def linear(x: Field, domain: tuple = (0, 1), range_: tuple = (0, 1), overflow: s
         u = F.when(outside, F.raise_error(F.lit("value outside the domain")).cast("double")).otherwise(u)
     else:
         raise FieldError(overflow)
-    return Field(x.domain, "scalar", {"value": F.lit(float(range_[0])) + u * F.lit(float(range_[1]) - float(range_[0]))})
+    return Field(x.domain, "scalar", {"value": F.lit(float(range_[0])) + u * F.lit(float(range_[1]) - float(range_[0]))}, x.volumes)
 
 
 def piecewise(x: Column, stops: list[tuple[float, float]]) -> Column:
@@ -88,7 +90,7 @@ def piecewise(x: Column, stops: list[tuple[float, float]]) -> Column:
 def colormap(x: Field, stops: list[tuple[float, tuple]]) -> Field:
     stops = sorted(stops, key=lambda s: s[0])
     cols = {c: piecewise(x.value, [(t, rgba[i]) for t, rgba in stops]) for i, c in enumerate(CHANNELS)}
-    return Field(x.domain, "color", cols)
+    return Field(x.domain, "color", cols, x.volumes)
 
 
 def curve(stops: list[tuple[float, float]], t: float, overflow: str = "clamp") -> Field:
@@ -111,6 +113,46 @@ def annotation(domain: str, name: str, missing: str = "fallback", fallback: floa
     return Field(domain, "string" if isinstance(fallback, str) else "scalar", {"value": F.coalesce(F.col(name), other)})
 
 
+def volume_sample(name: str | None = None) -> Field:
+    """The value of a volume at each atom; without a name, of the nearest volume of the scene.
+
+    ``with_volume`` puts the values into the rows.
+    """
+    return Field("atom", "scalar", {"value": F.col(volume_column(name))}, (name,))
+
+
+def volume_column(name: str | None) -> str:
+    return f"__volume_{name or 'nearest'}"
+
+
+def with_volume(rows: DataFrame, key: str, samples: DataFrame, grid, name: str | None = None) -> DataFrame:
+    """``rows`` (key, x, y, z ...) with the volume's trilinear value at each, 0 outside."""
+    from . import volume
+
+    values = volume.sample(rows.select(key, "x", "y", "z"), samples, grid, key)
+    return rows.join(values.withColumnRenamed("value", volume_column(name)), key)
+
+
+def reads_nearest_volume(f: Field) -> bool:
+    return None in f.volumes
+
+
+def by_potential(stops: list, limit: float, name: str | None = None) -> Field:
+    return colormap(linear(volume_sample(name), (-limit, limit)), stops)
+
+
+def chain_identity(s: Structure) -> DataFrame:
+    """(chain, identity): what names a chain in records from elsewhere."""
+    return s.chains.select("chain", F.struct("model", F.col("labelId").alias("chainLabel"), F.col("authId").alias("chainAuth")).alias("identity"))
+
+
+def residue_identity(s: Structure) -> DataFrame:
+    """(residue, identity): the chain's parts, sequence numbers, insertion code and component."""
+    rows = s.residues.join(s.chains, "chain")
+    parts = F.struct("model", F.col("labelId").alias("chainLabel"), F.col("authId").alias("chainAuth"), "labelSeq", "authSeq", F.col("insertionCode").alias("insCode"), "comp")
+    return rows.select("residue", parts.alias("identity"))
+
+
 def join_annotation(rows: DataFrame, records: DataFrame, keys: list[str], value: str, duplicates: str = "error", order: str | None = None) -> DataFrame:
     """``rows`` with ``value`` of the record of equal identity (missing parts are equal).
 

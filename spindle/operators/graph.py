@@ -31,12 +31,16 @@ def merged_edges(edges: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.bit_or("flags").alias("flags"), F.max("order").alias("order"))
 
 
-def bond_graph(s: Structure, padding: float = 0.45) -> DataFrame:
-    """The explicit bonds and links of a structure, or distance-based bonds if it has none."""
+def bond_graph(s: Structure) -> DataFrame:
+    """The pinned graph, or the explicit bonds and links of a structure, or bonds by rules if it has none."""
     cols = ["a", "b", "flags", "order"]
+    if s.edges is not None:
+        return s.edges
+    if s.bonds is None:
+        from .bonding import computed_bonds
+
+        return computed_bonds(s)
     parts = [t.select(*cols) for t in (s.bonds, s.links) if t is not None]
-    if not parts:
-        parts = [distance_bonds(s, padding).select(*cols)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

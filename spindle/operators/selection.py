@@ -170,6 +170,30 @@ def not_(q: Query) -> Query:
     return Query("atom", f"not ({q.label})", rows=rows, view=q.view, reads=q.reads)
 
 
+def compile_(tree, label: str = "expression") -> Query:
+    """A named query from an expression tree; it reads the streams that the tree's symbols need."""
+    from ..functions import expr
+
+    words = set(_symbols(tree))
+    reads = {"topology"}
+    if any(w.rsplit(".", 1)[-1] in ("x", "y", "z", "within", "include-surroundings", "surrounding-ligands", "length") for w in words):
+        reads.add("positions")
+    if any("secondary-structure" in w or w.endswith(("B_iso_or_equiv", "occupancy", "pdbx_formal_charge")) for w in words):
+        reads.add("attributes")
+    return Query("atom", label, rows=lambda s, universe: expr.evaluate(s, tree, universe).flat(), reads=frozenset(reads))
+
+
+def _symbols(tree):
+    if isinstance(tree, dict):
+        for v in tree.values():
+            yield from _symbols(v)
+    elif isinstance(tree, (list, tuple)) and tree:
+        if isinstance(tree[0], str):
+            yield tree[0]
+        for v in tree[1:]:
+            yield from _symbols(v)
+
+
 def with_view(q: Query, **view) -> Query:
     """``q`` with some axes of its view set, whatever its parts ask for."""
     return replace(q, view=q.view | view)

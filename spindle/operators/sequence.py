@@ -95,6 +95,37 @@ def chain_ends(s: Structure) -> DataFrame:
     return s.residues.filter("polymer <> 'other'").groupBy("chain").agg(F.min("residue").alias("first"), F.max("residue").alias("last"))
 
 
+# The atoms that a residue's direction goes from and to.
+DIRECTIONS = {"protein": (("C",), ("O", "OC1", "O1", "OX1", "OXT", "OT1")), "rna": (("C4'", "C4*"), ("C3'", "C3*")), "dna": (("C3'", "C3*"), ("C1'", "C1*"))}
+
+
+def structure_trace(s: Structure) -> DataFrame:
+    """The trace with ss (kind), first and last (of a block of one kind in a run) and directions dx, dy, dz.
+
+    Residues without both atoms, or with both in one place, have the direction (0, 0, 1).
+    """
+    rows = trace(s)
+    kind = S.ss_kind(F.col("ssCode")) if "ssCode" in s.residues.columns else F.lit("coil")
+    rows = rows.join(s.residues.select("residue", kind.alias("ss")), "residue")
+    w = Window.partitionBy("chain", "run").orderBy("k")
+    rows = rows.withColumn("first", ~F.lag("ss").over(w).eqNullSafe(F.col("ss"))).withColumn("last", ~F.lead("ss").over(w).eqNullSafe(F.col("ss")))
+    at = s.atoms.join(s.residues.select("residue", "polymer"), "residue")
+    role = lambda n: _any(F.col("polymer"), n)
+    ends = at.groupBy("residue").agg(*(F.min_by(F.when(role(n), F.col(c).cast("double")), F.when(role(n), F.col("atom"))).alias(f"{e}{c}") for n, e in ((0, "f"), (1, "t")) for c in "xyz"))
+    rows = rows.join(ends.withColumnsRenamed({f"t{c}": f"to{c}" for c in "xyz"}), "residue", "left")
+    d = V.sub(V.vec("to"), V.vec("f"))
+    size, n = V.length(d), V.normalize(d)
+    rows = rows.withColumns({f"d{c}": F.when(size > 1e-6, v).otherwise(F.lit(float(c == "z"))) for c, v in zip("xyz", n)})
+    return rows.drop(*(f"{e}{c}" for e in ("f", "to") for c in "xyz"))
+
+
+def _any(polymer, which: int):
+    out = F.lit(False)
+    for kind, names in DIRECTIONS.items():
+        out = out | ((polymer == kind) & F.col("name").isin(*names[which]))
+    return out
+
+
 def trace_frames(s: Structure) -> DataFrame:
     """The trace with normals nx, ny, nz carried along each run (parallel transport)."""
     rows = trace(s)
@@ -130,14 +161,15 @@ def dssp(s: Structure) -> DataFrame:
     Kabsch-Sander energies between residues whose CA atoms lie within 9 A give turns, helices
     (G, H, I), bridges and strands (B, E), bends (S); the strongest kinds win.
     """
-    rows = backbone(s, ("N", "CA", "C", "O"))
-    need = [f"{n}_{c}" for n in ("N", "CA", "C", "O") for c in "xyz"]
+    rows = backbone(s, ("N", "CA", "C", "O", "OXT"))
+    need = [f"{n}_{c}" for n in ("N", "CA", "C", "O", "OXT") for c in "xyz"]
 
     def assign(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["labelSeq", "residue"], ignore_index=True)
         xyz = {n: table[[f"{n}_{c}" for c in "xyz"]].to_numpy(float) for n in ("N", "CA", "C", "O")}
         m = len(table)
         code = np.zeros(m, int)
+        terminal = table["OXT_x"].notna().to_numpy()  # a C-terminal residue accepts no bond
         whole = ~np.isnan(np.concatenate([xyz[n] for n in xyz], axis=1)).any(1)
         linked = np.zeros(m, bool)
         if m > 1:
@@ -155,7 +187,7 @@ def dssp(s: Structure) -> DataFrame:
             bins.setdefault(tuple(cell[i]), []).append(i)
         for i in np.flatnonzero(whole & donor):
             near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for j in bins.get((cell[i][0] + dx, cell[i][1] + dy, cell[i][2] + dz), ())]
-            near = np.array([j for j in near if j != i and j != i - 1], int)
+            near = np.array([j for j in near if abs(j - i) > 1 and not terminal[j]], int)
             near = near[np.linalg.norm(xyz["CA"][near] - xyz["CA"][i], axis=1) <= 9] if len(near) else near
             if len(near):
                 e = _hbond(xyz["O"][near], xyz["C"][near], xyz["N"][i], hyd[i])

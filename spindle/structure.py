@@ -37,6 +37,8 @@ class Structure:
     dataset: str = field(default_factory=lambda: uuid.uuid4().hex)
     revisions: dict = field(default_factory=lambda: {"topology": 0, "positions": 0, "attributes": 0})
     attributes: dict = field(default_factory=dict)
+    #: A bond graph pinned to these coordinates (see operators.bonding); none is computed then.
+    edges: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -75,7 +77,7 @@ class Structure:
         atoms = self.atoms.join(moved, "atom", "left")
         for c in "xyz":
             atoms = atoms.withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
-        return replace(self, atoms=atoms, revisions=self.revisions | {"positions": next(_revision)})
+        return replace(self, atoms=atoms, edges=None, revisions=self.revisions | {"positions": next(_revision)})
 
     def attribute_domain(self, name: str) -> str:
         if name in self.attributes:
