@@ -94,3 +94,63 @@ def report(records: DataFrame) -> DataFrame:
         F.count("*").alias("atoms"), F.countDistinct("model", "segment", "chain", "seq", "insertion", "comp").alias("residues"),
         F.round(F.sum("charge"), 6).alias("net_charge"), F.sum((F.col("radius") == 0).cast("int")).alias("radius_fallbacks"),
     )
+
+
+#: How far a hydrogen may lie from the heavy atom that takes its charge, and how much a residue's sum may be off.
+FOLD_DISTANCE, DELTA_TOLERANCE = 1.3, 1e-3
+
+
+def apply_charges(s: Structure, records: DataFrame) -> tuple[Structure, dict[str, DataFrame]]:
+    """``s`` with the records' charges as ``partialCharge``, and a report.
+
+    Records of the first model find atoms by chain, author number, insertion code and name, in
+    every model and conformer.  The charge of a hydrogen that a conformer of a residue lacks goes
+    to its nearest heavy atom there.  The report has the frames matched (n), unmatched_atoms,
+    unmatched_records and residue_delta (residues whose charges don't add up to the records').
+    """
+    first = records.agg(F.min_by("model", "line").alias("m"), F.max(F.col("chain") != "").alias("named")).first()
+    key = ["__c", "__s", "__i"]
+    rec = records.filter(F.col("model") == F.lit(first["m"])).select("line", "name", "charge", "x", "y", "z", F.col("chain").alias("__c"), F.col("seq").cast("string").alias("__s"), F.col("insertion").alias("__i"))
+    rec = rec.withColumn("hydrogen", F.col("name").rlike(r"^\d*[Hh]"))
+    chain = F.col("authId") if first["named"] else F.lit("")
+    res = s.residues.join(s.chains, "chain").select("residue", "model", "labelId", "authId", chain.alias("__c"), F.col("authSeq").alias("__s"), F.col("insertionCode").alias("__i"))
+    if not first["named"]:
+        used = res.join(rec.select(*key).distinct(), key, "left_semi")
+        torn = used.groupBy(*key).agg(F.countDistinct("labelId").alias("n"), F.sort_array(F.collect_set("labelId")).alias("labels")).filter("n > 1").first()
+        if torn:
+            raise IoError("AMBIGUOUS_CHAIN", f"no chain ids, and residue {torn['__s']}{torn['__i']} is in chains {', '.join(torn['labels'])}")
+    at = s.atoms.select("atom", "residue", F.col("name").alias("aname"), "altloc")
+    placed = rec.join(res.select("residue", *key), key)
+    hit = placed.join(at, (placed["residue"] == at["residue"]) & (placed["name"] == at["aname"])).select("line", "atom", "charge", "hydrogen")
+    base = hit.groupBy("atom").agg(F.max_by("charge", "line").alias("base"))
+    # Every conformer of a residue has its own atoms and those without a code.
+    codes = at.groupBy("residue").agg(F.collect_set(F.when(F.col("altloc") != "", F.col("altloc"))).alias("codes"))
+    conformers = codes.select("residue", F.explode(F.when(F.size("codes") > 0, F.col("codes")).otherwise(F.array(F.lit("")))).alias("alt"))
+    copies = conformers.join(at, "residue").filter((F.col("altloc") == "") | (F.col("altloc") == F.col("alt"))).select("residue", "alt", "aname", "atom")
+    lacking = placed.filter("hydrogen").select("line", "name", "charge", "residue", *key, *(F.col(c).alias(f"h{c}") for c in "xyz")).join(conformers, "residue")
+    have = copies.select("residue", "alt", F.col("aname").alias("name")).distinct()
+    lacking = lacking.join(have, ["residue", "alt", "name"], "left_anti")
+    heavy = rec.filter("NOT hydrogen").join(hit.select("line").distinct(), "line", "left_semi").select(*key, F.col("line").alias("kline"), F.col("name").alias("kname"), "x", "y", "z")
+    near = lacking.join(heavy, key).join(have.withColumnRenamed("name", "kname"), ["residue", "alt", "kname"])
+    d2 = sum(((F.col(f"h{c}") - F.col(c)) * (F.col(f"h{c}") - F.col(c)) for c in "xyz"), F.lit(0.0))
+    near = near.withColumn("d2", d2).filter(F.col("d2") <= FOLD_DISTANCE * FOLD_DISTANCE)
+    best = near.groupBy("line", "residue", "alt").agg(F.min_by("kname", F.struct("d2", -F.col("kline"))).alias("aname"), F.first("charge").alias("charge"))
+    folded = best.join(copies, ["residue", "alt", "aname"]).select("line", "atom", "charge").distinct().groupBy("atom").agg(F.sum("charge").alias("more"))
+    values = s.atoms.select("atom").join(base, "atom", "left").join(folded, "atom", "left")
+    values = values.select("atom", (F.coalesce("base", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).cast("float").alias("partialCharge"))
+    out = s.with_attributes({"partialCharge": values}, provenance="imported:pqr")
+    lost = lacking.select("line", "residue", "alt").join(best.select("line", "residue", "alt"), ["line", "residue", "alt"], "left_anti").select("line")
+    nowhere = rec.join(hit.select("line"), "line", "left_anti").join(placed.filter("hydrogen").select("line"), "line", "left_anti").select("line")
+    unmatched = rec.join(lost.union(nowhere).distinct(), "line", "left_semi").select(*(F.col(c).alias(n) for c, n in zip(key, ("chain", "seq", "insertion"))), "name")
+    sums = rec.groupBy(*key).agg(F.sum("charge").alias("pqr"))
+    one = copies.groupBy("residue", "alt", "aname").agg(F.min("atom").alias("atom")).join(values, "atom")
+    held = one.groupBy("residue", "alt").agg(F.sum(F.col("partialCharge").cast("double")).alias("assigned"))
+    delta = sums.join(res, key).join(held, "residue").filter(F.abs(F.col("assigned") - F.col("pqr")) > DELTA_TOLERANCE)
+    names = s.atoms.select("atom", "residue", "name").join(base, "atom", "left_anti").join(res.select("residue", "authId", "__s", "__i"), "residue")
+    report_ = {
+        "matched": base.agg(F.count("*").alias("n")),
+        "unmatched_atoms": names.select("atom", F.col("authId").alias("chain"), F.col("__s").alias("seq"), F.col("__i").alias("insertion"), "name"),
+        "unmatched_records": unmatched,
+        "residue_delta": delta.select("residue", "model", F.col("alt").alias("altloc"), "pqr", "assigned"),
+    }
+    return out, report_
