@@ -1,6 +1,7 @@
 """Selection text in the PyMOL and VMD manner, parsed to named selections.
 
-Precedence: not, then and, then or; ``byres`` and ``within`` bind like not.  Only the words below
+Precedence: not, then and, then or; ``byres``, ``bound_to``, ``within`` and what follows an operand
+(``around``, ``expand``, ``extend``, ``within``, ``near_to``, ``beyond``) bind like not.  Only the words below
 are known; anything else is an error that names its position.
 """
 
@@ -11,6 +12,7 @@ import re
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators import graph
 from ..operators import selection as Q
 
 TOKEN = re.compile(r"\s*(?:(\()|(\))|'([^']*)'|\"([^\"]*)\"|(<=|>=|==|!=|<|>|=)|([^\s()<>=!]+))")
@@ -66,6 +68,22 @@ def _by_residue(q: Q.Query) -> Q.Query:
     return Q.Query("atom", f"byres {q.label}", rows=rows, view=q.view, reads=q.reads)
 
 
+def _bonded(q: Q.Query, layers: int, keep: bool) -> Q.Query:
+    """Atoms up to ``layers`` covalent bonds from ``q``, with its own atoms or, of one layer, without asking for them."""
+
+    def rows(s, universe):
+        bonds = graph.bond_graph(s).filter(F.expr("(flags & 1) <> 0")).select("a", "b")
+        seeds = Q._atoms(q, s, universe).select(F.col("atom").alias("node"))
+        if keep:
+            found = graph.expand(seeds, bonds, layers)
+        else:
+            both = bonds.union(bonds.select("b", "a"))
+            found = both.join(seeds.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        return universe.select("atom").join(found.select(F.col("node").alias("atom")), "atom", "left_semi")
+
+    return Q.Query("atom", f"bonds of {q.label}", rows=rows, view=q.view, reads=q.reads | {"positions"})
+
+
 def _elements(words: list[str]) -> Q.Query:
     numbers = {s: i + 1 for i, s in enumerate(S.ELEMENT_SYMBOLS)}
     found = [numbers.get(w.upper(), 0) for w in words]
@@ -77,14 +95,16 @@ SIMPLE = {
     "water": Q.water, "waters": Q.water, "solvent": Q.water, "ligand": Q.ligand, "organic": Q.ligand,
     "polymer": lambda: Q.Query("atom", "polymer", lambda s: F.col("polymer") != "other"), "hetatm": lambda: Q.Query("atom", "hetatm", lambda s: F.col("het")),
     "helix": lambda: Q.secondary_structure("helix"), "sheet": lambda: Q.secondary_structure("sheet"), "coil": lambda: Q.secondary_structure("coil"),
-    "backbone": lambda: Q.protein() & _word("name", "N", "CA", "C", "O"), "hydrogen": lambda: Q.element(1), "hydrogens": lambda: Q.element(1),
+    "backbone": lambda: Q.protein() & _word("name", "N", "CA", "C", "O"), "hydrogen": lambda: Q.element(1), "hydrogens": lambda: Q.element(1), "hydro": lambda: Q.element(1),
+    "hetero": lambda: Q.Query("atom", "hetero", lambda s: F.col("het")),
 }
 LISTS = {
     "chain": lambda w: _word("authId", *w), "segi": lambda w: _word("labelId", *w), "name": lambda w: _word("name", *w), "resn": lambda w: _word("comp", *w),
     "resname": lambda w: _word("comp", *w), "alt": lambda w: _word("altloc", *w), "elem": _elements, "element": _elements, "resi": _ranges, "resid": _ranges,
     "index": lambda w: Q.Query("atom", "index", lambda s: F.col("atom").isin(*map(int, w))),
 }
-STOP = {"and", "or", "not", "of", ")", "(", "&", "|", "!", "around", "byres", "within"}
+AFTER = ("around", "expand", "extend", "within", "near_to", "beyond")
+STOP = {"and", "or", "not", "of", ")", "(", "&", "|", "!", "byres", "bound_to", *AFTER}
 
 
 class _Parser:
@@ -130,12 +150,25 @@ class _Parser:
             reach = float(self.take())
             self.take("of")
             return Q.within(reach, self.one())
+        if low == "bound_to":
+            return _bonded(self.one(), 1, False)
         out = self.basic(w, low)
-        while (self.peek() or "").lower() == "around":
-            self.take()
-            out = Q.within(float(self.take()), out) & ~out
+        while (self.peek() or "").lower() in AFTER:
+            out = self.after(out, self.take().lower(), self.take())
         return out
 
+    def after(self, out: Q.Query, how: str, size: str) -> Q.Query:
+        """What follows an operand: its surroundings, or a test against another operand."""
+        if how == "extend":
+            return _bonded(out, int(size), True)
+        if how in ("around", "expand"):
+            near = Q.within(float(size), out)
+            return near & ~out if how == "around" else near | out
+        self.take("of")
+        other = self.one()
+        near = Q.within(float(size), other)
+        return out & (near if how == "within" else ~near if how == "beyond" else near & ~other)
+
     def basic(self, w: str, low: str) -> Q.Query:
         if w == "(":
             out = self.any_of()

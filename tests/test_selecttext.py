@@ -32,3 +32,18 @@ def test_text(s, text, want):
 def test_errors(text):
     with pytest.raises(ValueError):
         selecttext.parse(text)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("index 5 expand 1", [4, 5, 6]), ("name N within 3 of index 5", [4, 8]), ("all near_to 1 of index 5", [4, 6]), ("name CA beyond 3 of index 5", [1, 9]),
+        ("index 0 extend 2", [0, 1, 2]), ("bound_to index 1", [0, 2]), ("name CA within 1 of name N or index 11", [1, 5, 9, 11]), ("hydro", []),
+    ],
+)
+def test_what_follows_an_operand(s, spark, text, want):
+    from dataclasses import replace
+
+    bonds = spark.createDataFrame([(i, i, i + 1, 1, 1) for i in range(11) if i % 4 != 3], "bond long, a long, b long, order int, flags int")
+    got = Q.resolve(selecttext.parse(text), replace(s, bonds=bonds)).ids.collect()
+    assert sorted(r["atom"] for r in got) == want
