@@ -440,8 +440,8 @@ class Evaluator:
             of = self.s.atoms.select("atom", "residue")
             for end in "ab":
                 links = links.join(of.select(F.col("atom").alias(end), F.col("residue").alias(f"r{end}")), end)
-            steps = links.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            reached = graph.reach(start, steps)
+            steps = graph.cut(links.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            reached = graph.cut(graph.reach(graph.cut(start), steps))
         grown = base.filter("__kind <> 'water'").join(reached.select(F.col("node").alias("residue")), "residue", "left_semi").select("atom")
         rows = inner.union(grown).distinct()
         if named.get("include-water"):
