@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,12 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
 MAX_BROADCAST_ROWS = 500_000
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` (materialised, narrow rows) marked for broadcast if it is counted to be small.
 
     A larger one is joined by shuffle; the result is the same.
     """
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def release(spark: SparkSession) -> None:
@@ -71,6 +76,21 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: smaller than a checkpoint."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._stored_in = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing will read again."""
+    for t in tables:
+        delete(t.sparkSession, t._stored_in)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -127,7 +147,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class WordTable(dict):
     """Word -> XXH64, computed once per word and worker; emptied when it grows too large."""
 
-    limit = 1_000_000
+    limit = 500_000
 
     def __missing__(self, word):
         value = xxhash.xxh64_intdigest(word)
@@ -138,7 +158,7 @@ class WordTable(dict):
 
 
 def word_hashes(table: WordTable, words: list) -> np.ndarray:
-    return np.array([table[w] for w in words], dtype=U64)
+    return np.fromiter(map(table.__getitem__, words), U64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -152,6 +172,23 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def distinct_sorted(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+#: Rows that Spark packs into one Arrow batch at most: some megabytes of texts, where its default would take ten times that.
+BATCH_ROWS = 1_024
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches made small enough for whole texts (a larger setting is lowered)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in slices small enough that whole texts stay within a worker's memory."""
     for batch in batches:
@@ -166,7 +203,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in rows_of(batches, size):
             yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return modest_batches(df).mapInArrow(run, schema)
 
 
 def binary_texts(column: pa.Array) -> list:
