@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, map_arrow, small, texts
+from .common import cut, free_name, map_arrow, small, text_key, texts
 
 DEPTH = 3
 MAX_LEAF = 1_500
@@ -75,17 +75,17 @@ def lines_of(docs: DataFrame, row: str, text: str) -> DataFrame:
 
 
 def masked_lines(docs: DataFrame, row: str, text: str, places_: DataFrame) -> DataFrame:
-    """(line, masked): the masked text of one occurrence of each line in ``places_`` (line, row, pos)."""
-    at = cut(places_.groupBy(F.col("row").alias("__r")).agg(F.collect_list(F.struct("line", "pos")).alias("at")))
-    held = docs.select(F.col(row), F.col(text)).join(small(at), F.col(row) == F.col("__r"))
-    held = held.dropDuplicates([row]).withColumn("__lines", F.split(text, "\n", -1)).select(F.explode("at").alias("a"), "__lines")
-    held = held.select("a.line", F.get("__lines", F.col("a.pos")).alias("text"))
+    """(leaf, line, masked): the masked text of one occurrence of each line in ``places_`` (leaf, line, row, pos)."""
+    at = cut(places_.groupBy(F.col("row").alias("__r")).agg(F.collect_list(F.struct("leaf", "line", "pos")).alias("at")))
+    held = docs.select(F.col(row).alias("__row"), F.col(text).alias("__text")).join(small(at), F.col("__row") == F.col("__r"))
+    held = held.dropDuplicates(["__row"]).withColumn("__lines", F.split("__text", "\n", -1)).select(F.explode("at").alias("a"), "__lines")
+    held = held.select("a.leaf", "a.line", F.get("__lines", F.col("a.pos")).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [" ".join(masked(t)) for t in texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], ["line", "masked"])
+        words = [" ".join(masked(t)) for t in texts(batch.column(2))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.string())], ["leaf", "line", "masked"])
 
-    return map_arrow(held, run, "line long, masked string")
+    return map_arrow(held, run, "leaf long, line long, masked string")
 
 
 def drain(lines: list[str], similarity: float) -> tuple[list[int], list[str]]:
@@ -148,15 +148,19 @@ def grown_wide(tree: DataFrame, similarity: float, max_leaf: int) -> DataFrame:
 
 
 def templates(docs: DataFrame, text: str, row: str, similarity: float, min_docs: int, max_leaf: int = MAX_LEAF) -> tuple[DataFrame, DataFrame]:
-    """(lines, found): all lines, and (line, template, n_docs) of those in recurring templates."""
+    """(lines, found): all lines, and (leaf, line, template, n_docs) of those in recurring templates.
+
+    A line is known by two hashes, its leaf's and its own, 128 bits together.
+    """
     lines = cut(lines_of(docs, row, text))
     seen = cut(lines.select("leaf", "line", "dd").distinct())
     count = seen.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     leaves = count.groupBy("leaf").agg(F.count("*").alias("width"), F.sum("n").alias("m")).filter(F.col("m") >= min_docs)
     count = cut(count.join(leaves.select("leaf", "width"), "leaf"))
-    first = lines.join(count.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min(F.struct("row", "pos")).alias("p"))
-    named = masked_lines(docs, row, text, first.select("line", "p.row", "p.pos"))
-    tree = cut(count.join(named, "line").select("leaf", "line", "masked", "n", "width"))
+    # One occurrence of each line, taken before any join, so a line that all texts hold costs one row a task.
+    first = lines.groupBy("leaf", "line").agg(F.min(F.struct("row", "pos")).alias("p")).join(count.select("leaf", "line"), ["leaf", "line"], "left_semi")
+    named = masked_lines(docs, row, text, first.select("leaf", "line", "p.row", "p.pos"))
+    tree = cut(count.join(named, ["leaf", "line"]).select("leaf", "line", "masked", "n", "width"))
     of = grown(tree.filter(F.col("width") <= max_leaf), similarity, "leaf")
     wide = tree.filter(F.col("width") > max_leaf)
     if not wide.isEmpty():
@@ -164,7 +168,7 @@ def templates(docs: DataFrame, text: str, row: str, similarity: float, min_docs:
     assigned = cut(tree.select("leaf", "line", "masked").join(of, ["leaf", "masked"]).select("leaf", "line", "template"))
     docs_of = seen.join(assigned, ["leaf", "line"]).select("leaf", "template", "dd").distinct()
     recur = docs_of.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    return lines, assigned.join(recur, ["leaf", "template"]).select("line", "template", "n_docs")
+    return lines, assigned.join(recur, ["leaf", "template"]).select("leaf", "line", "template", "n_docs")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.7, min_docs: int = 10) -> DataFrame:
@@ -172,22 +176,25 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two columns are added: n_lines and n_dropped (names with leading underscores if taken).
     """
-    row, total, gone = (free_name(docs.columns, n) for n in ("__row", "n_lines", "n_dropped"))
-    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
-    lines, found = templates(keyed, text_col, row, similarity, min_docs)
-    drops = lines.join(found.select("line"), "line").groupBy(F.col("row").alias("__r")).agg(F.collect_set("pos").alias("__drop"))
+    row, total, gone, of, drop = (free_name(docs.columns, n) for n in ("__row", "n_lines", "n_dropped", "__of", "__drop"))
+    keyed = docs.withColumn(row, text_key(docs, id_col, text_col))
+    lines, found = templates(keyed.select(row, text_col), text_col, row, similarity, min_docs)
+    # Broadcast, or else two plain shuffles, whose hot keys Spark can split.
+    found = small(cut(found.select("leaf", "line")))
+    drops = lines.join(found, ["leaf", "line"]).groupBy(F.col("row").alias(of)).agg(F.collect_set("pos").alias(drop))
     drops = small(cut(drops))
     parts = F.split(F.col(text_col), "\n", -1)
-    out = keyed.join(drops, F.col(row) == F.col("__r"), "left")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    out = keyed.join(drops, F.col(row) == F.col(of), "left")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i)), "\n")
     out = out.withColumn(total, F.coalesce(F.size(parts), F.lit(0)).cast("long"))
     out = out.withColumn(total, F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col(total)))
-    out = out.withColumn(gone, F.coalesce(F.when(F.col("__drop").isNotNull(), F.size("__drop")), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("__drop").isNotNull(), left).otherwise(F.col(text_col)))
+    out = out.withColumn(gone, F.coalesce(F.when(F.col(drop).isNotNull(), F.size(drop)), F.lit(0)).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col(drop).isNotNull(), left).otherwise(F.col(text_col)))
     return out.select(*docs.columns, total, gone)
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    """Of every document: its lines, how many were dropped, and the length and digest of what is left."""
     out = drop_lines(docs.select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("n_chars_kept"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
