@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MAX_BROADCAST_ROWS, U64, binary_texts, cut, map_arrow, mix64, rows_of, shuffle_width
+from .common import GOLDEN, MAX_BROADCAST_ROWS, U64, binary_texts, cut, map_arrow, mix64, modest_batches, rows_of, shuffle_width
 
 LENGTH = 400
 GRAM = 32
@@ -247,7 +247,7 @@ def tree_reach(around: DataFrame, length: int) -> DataFrame:
 
     dealt = around.select("bucket", "gram", "around", "n", "left", "bytes")
     dealt = dealt.repartition(shuffle_width(around.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "gram long, around long, before int, after int")
+    return modest_batches(dealt).mapInArrow(run, "gram long, around long, before int, after int")
 
 
 def wide_reach(around: DataFrame, length: int, max_bucket: int) -> DataFrame:
@@ -257,13 +257,7 @@ def wide_reach(around: DataFrame, length: int, max_bucket: int) -> DataFrame:
     row goes to at most two parts, and parts of one row hold no repeat.  Parts that are still
     too wide are compared window by window.
     """
-    side = min(SIDE, length // 2)
-    before = F.when(F.col("left") >= side, F.xxhash64("gram", F.lit(0), F.expr(f"substring(bytes, left - {side} + 1, {side})")))
-    after_size = length - side + 1
-    after = F.when(F.length("bytes") - F.col("left") >= after_size, F.xxhash64("gram", F.lit(1), F.expr(f"substring(bytes, left + 1, {after_size})")))
-    parts = around.withColumn("bucket", F.explode(F.array_compact(F.array(before, after))))
-    width = parts.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
-    parts = cut(parts.join(width, "bucket"))
+    parts = _parted(around, length)
     out = tree_reach(parts.filter(F.col("k") <= max_bucket), length)
     wide = parts.filter(F.col("k") > max_bucket)
     if not wide.isEmpty():
@@ -271,8 +265,19 @@ def wide_reach(around: DataFrame, length: int, max_bucket: int) -> DataFrame:
     return out
 
 
-def window_reach(around: DataFrame, length: int) -> DataFrame:
-    """The same for hot buckets: windows around the anchor compared by digest, one row each."""
+def _parted(around: DataFrame, length: int) -> DataFrame:
+    """``around`` once for each side of the anchor that is long enough, by what it reads there; k: rows of the part."""
+    side = min(SIDE, length // 2)
+    before = F.when(F.col("left") >= side, F.xxhash64("gram", F.lit(0), F.expr(f"substring(bytes, left - {side} + 1, {side})")))
+    after_size = length - side + 1
+    after = F.when(F.length("bytes") - F.col("left") >= after_size, F.xxhash64("gram", F.lit(1), F.expr(f"substring(bytes, left + 1, {after_size})")))
+    parts = around.withColumn("bucket", F.explode(F.array_compact(F.array(before, after))))
+    width = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("m")).filter("m > 1").drop("m")
+    return cut(parts.join(cut(width), "bucket"))
+
+
+def repeated_windows(around: DataFrame, length: int) -> DataFrame:
+    """(gram, around, n, back, digest): the windows of hot parts that are found twice, compared by digest, one row each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, rows = [], []
@@ -287,7 +292,12 @@ def window_reach(around: DataFrame, length: int) -> DataFrame:
 
     windows = map_arrow(around.select("gram", "around", "n", "left", "bytes"), run, "gram long, around long, n long, back int, digest binary", 64)
     again = windows.groupBy("gram", "digest").agg(F.sum("n").alias("m")).filter("m > 1").select("gram", "digest")
-    hit = windows.join(again, ["gram", "digest"], "left_semi")
+    return windows.join(again, ["gram", "digest"], "left_semi")
+
+
+def window_reach(around: DataFrame, length: int) -> DataFrame:
+    """Reach within parts that are too wide for one task."""
+    hit = repeated_windows(around, length)
     return hit.groupBy("gram", "around").agg(
         F.max("back").cast("int").alias("before"), (F.lit(length) - F.min("back")).cast("int").alias("after")
     )
@@ -300,11 +310,11 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(key, spans) for texts with repeats: [from, to) byte ranges, unmerged. docs: key, text."""
     rows = cut(anchor_rows(docs, length))
-    twice = rows.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram")
+    # Cut off: a join of two plain shuffles is one whose hot keys Spark can split.
+    twice = cut(rows.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"))
     rows = cut(rows.join(twice, "gram", "left_semi"))
     kinds = rows.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "s0", "s1")).alias("rep"))
-    width = kinds.groupBy("gram").agg(F.count("*").alias("k"))
-    kinds = cut(kinds.join(width, "gram"))
+    kinds = with_width(kinds)
     # A surrounding found several times: its suffixes agree to both ends, a leaf of the tree.
     alike = kinds.filter("n > 1").select("gram", "around", (F.col("rep.a") - F.col("rep.s0")).alias("before"), (F.col("rep.s1") + length - F.col("rep.a")).alias("after"))
     some = surroundings(docs, kinds.filter(F.col("k").between(2, NARROW)), length).withColumn("bucket", F.col("gram"))
@@ -316,35 +326,51 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, max_bucket: int = MAX_
     return spans.groupBy("key").agg(F.collect_set("s").alias("spans"))
 
 
-def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def with_width(kinds: DataFrame) -> DataFrame:
+    """``kinds`` with k, the number of different surroundings of the gram, and m, of all occurrences."""
+    width = cut(kinds.groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("m")))
+    return cut(kinds.join(width, "gram"))
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, narrow: int = NARROW, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(group, id, start, length): maximal repeats with all occurrences, within their windows.
 
     A group's bytes reach as far as the windows around its anchor do; a longer passage is
-    reported as several overlapping groups.  Meant for buckets of bounded width: hot buckets
-    are reported by ``repeated_spans`` only.
+    reported as several overlapping groups.  Buckets of over ``narrow`` surroundings are parted
+    by the text on either side of the anchor, which all members of a group share on one side
+    at least, so every group is whole in one part.  Parts of over ``max_bucket`` surroundings give
+    a group for every repeated window of ``length`` bytes, with all its occurrences, and do not
+    join neighbouring windows to a longer one.  Repeated rows are repeats of each other, reported once.
     """
     texts_ = cut(_keyed(docs.select(F.col(id_col).alias("id"), text_col), text_col).select("id", "key", "text"))
     rows = cut(anchor_rows(texts_, length))
     kinds = rows.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "s0", "s1")).alias("rep"))
-    width = kinds.groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("m")).filter(f"m > 1 AND k <= {MAX_BUCKET}")
-    around = surroundings(texts_, kinds.join(width, "gram"), length)
+    kinds = with_width(kinds)
+    around = cut(surroundings(texts_, kinds.filter("m > 1"), length).join(kinds.select("gram", "around", "k"), ["gram", "around"]))
+    few, wide = around.filter(F.col("k") <= narrow).drop("k"), around.filter(F.col("k") > narrow).drop("k")
+    parts = _parted(wide, length)
+    dealt = few.withColumn("bucket", F.col("gram")).union(parts.filter(F.col("k") <= max_bucket).drop("k").select(*few.columns, "bucket"))
+    hot = parts.filter(F.col("k") > max_bucket).dropDuplicates(["gram", "around"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buckets in in_buckets(batches, 1_000):
             made = [_entries(rows) for rows in buckets]
             out = []
-            for g, (k, members, left, right) in enumerate(maximal_repeats([m[0] for m in made], length)):
-                group = signed(xxhash.xxh3_64_intdigest(f"{buckets[k][0][0]} {left} {right} {sorted(members)}"))
-                out.extend((group, *buckets[k][j][1:3], left, right) for j in sorted({made[k][1][m] for m in members}))
+            for k, members, left, right in maximal_repeats([m[0] for m in made], length):
+                before, data = made[k][0][members[0]]
+                shared = xxhash.xxh3_128_digest(data[before - left : before + right])
+                out.extend((shared, *buckets[k][j][1:3], left, right) for j in sorted({made[k][1][m] for m in members}))
             cols = list(zip(*out)) if out else [()] * 5
-            kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols, kinds_)], ["grp", "gram", "around", "before", "after"])
-
-    dealt = around.select(F.col("gram").alias("bucket"), "*").repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    groups = dealt.mapInArrow(run, "grp long, gram long, around long, before int, after int")
-    ids = texts_.select("id", "key").distinct()
-    out = rows.select("key", "a", "gram", "around").distinct().join(groups, ["gram", "around"]).join(ids, "key")
-    return out.select(F.col("grp").alias("group"), F.col("id").alias(id_col), (F.col("a") - F.col("before")).alias("start"), (F.col("before") + F.col("after")).alias("length")).distinct()
+            kinds_ = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols, kinds_)], ["group", "gram", "around", "before", "after"])
+
+    dealt = dealt.select("bucket", "gram", "around", "n", "left", "bytes")
+    dealt = dealt.repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    groups = modest_batches(dealt).mapInArrow(run, "group binary, gram long, around long, before int, after int")
+    groups = groups.union(repeated_windows(hot, length).select("digest", "gram", "around", F.col("back").cast("int"), (length - F.col("back")).cast("int")))
+    found = rows.select("key", "a", "gram", "around").join(cut(groups), ["gram", "around"])
+    found = found.select("group", "key", (F.col("a") - F.col("before")).alias("start"), (F.col("before") + F.col("after")).alias("length")).distinct()
+    return found.join(texts_.select("id", "key").distinct(), "key").select(F.hex("group").alias("group"), F.col("id").alias(id_col), "start", "length")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
