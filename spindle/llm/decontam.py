@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import GOLDEN, U64, WordTable, map_arrow, mix64, shingle_hashes, texts, word_hashes
+from .common import GOLDEN, U64, WordTable, map_arrow, mix64, modest_batches, shingle_hashes, texts, word_hashes
 
 WORDS = 5
 HASHES = 48
@@ -185,7 +185,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     Every row is judged by its own text, so nothing is shuffled and no column name can clash;
     rows without a text stay.
     """
-    out = docs
+    out = modest_batches(docs)
     for rows in item_blocks(items, item_col, item_text):
         out = out.filter(~_holds(rows, least)(F.coalesce(F.col(text_col), F.lit(""))))
     return out

@@ -7,42 +7,52 @@ from .common import documents, read_table
 
 
 def op1_simhash(spark, sf_dir):
+    """SimHash fingerprints and components of all documents."""
     return simhash.op1(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op2_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents."""
     return toxicity.op2(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_line_dedup(spark, sf_dir):
+    """What is left of every document without lines of recurring templates."""
     return line_templates.op3(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op4_fingerprints(spark, sf_dir):
+    """Exact fingerprints of all documents and of their edited texts."""
     return fingerprints.op4(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op5_language_id(spark, sf_dir):
+    """The language of every document."""
     return langid.op5(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
 def op6_quality(spark, sf_dir):
+    """Quality scores of all documents."""
     return quality.op6(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "labels"))
 
 
 def op7_mixing(spark, sf_dir):
+    """How many words of each document a weighted mix of sources takes."""
     return mixing.op7(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
 def op8_near_passages(spark, sf_dir):
+    """Classes of documents that near-duplicate passages connect."""
     return compact_windows.op8(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op9_decontamination(spark, sf_dir):
+    """Documents that hold items of the benchmark."""
     return decontam.op9(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op10_repeats(spark, sf_dir):
+    """What is left of every document without 400-byte strings found elsewhere."""
     return repeats.op10(documents(spark, sf_dir, "doc_id", "text"))
 
 
