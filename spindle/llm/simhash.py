@@ -17,19 +17,29 @@ and repeated ids are kept; ``component_id`` is the least id of the component.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, binary_texts, components, cut, free_name, map_arrow, mix64, release, small, xor_bits
+from .common import GOLDEN, U64, WordTable, binary_texts, components, cut, discard, distinct_sorted, free_name, map_arrow, mix64, modest_batches, release, rows_of, shingle_hashes, small, stored, word_hashes, xor_bits
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_DISTANCE = 5
 CHUNK = 1 << 16
 #: A shingle that more texts share, besides the largest cluster's, comes late in the prefixes' order.
 COMMON = 50
+#: Fingerprints of a text in the near-duplicate search; texts of under FEW shingles have none.
+PRINTS, FEW = 4, 16
+FPS = [f"fp{j}" for j in range(PRINTS)]
+#: Nodes whose sets are held together, on either side, when pairs are compared.
+NODES_A_BLOCK = 1_000
+#: Turns of leaders go on, TURNS at most, while they help and more pairs than these for each shared shingle of a text are left.
+PAIRS_A_ROW, TURNS = 4, 8
 #: Shingles put last at most: what the driver holds of them. All others keep their place.
 MAX_LATE = 1 << 19
 
@@ -180,151 +190,279 @@ def hamming_components(prints: DataFrame, id_col: str = "doc_id", within: int =
     return prints.join(of, F.col("fp0") == F.col("__fp")).drop("__fp")
 
 
-def prefix_rows(rows: DataFrame, words: int, similarity: float, late: set[int] = frozenset()) -> DataFrame:
-    """(key, node): the first shingle hashes of every text (node, text), in the order of the hashes.
+def sketch(text: bytes, table: WordTable, words: int) -> tuple[bytes, np.ndarray]:
+    """The text with A-Z and white space folded, and its sorted distinct shingle hashes."""
+    tokens = text.lower().split()
+    return b" ".join(tokens), distinct_sorted(shingle_hashes(word_hashes(table, tokens), words))
+
 
-    Of n distinct shingles the first n - ceil(similarity n) + 1 are taken: two sets of that
-    similarity share one of them, whatever the order, if it is the same for all texts.  Those in
-    ``late`` come after all others.
+def prefix_of(own: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n sorted shingles; those in ``late`` (sorted) come after all others.
+
+    Two sets of that similarity share one of their first ones, whatever the order, if it is the
+    same for all texts.
     """
-    last = np.array(sorted(late), "<u8")
+    if len(late) and len(own):
+        at = np.minimum(np.searchsorted(late, own), len(late) - 1)
+        own = own[np.argsort(late[at] == own, kind="stable")]
+    return own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1] if len(own) else own
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, at = [], []
-        for i, t in enumerate(binary_texts(batch.column(1))):
-            own = np.unique(np.array(shingle_digests(t.lower().split(), words), "<u8"))
-            if len(own):
-                if len(last):
-                    own = own[np.argsort(np.isin(own, last), kind="stable")]
-                own = own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
-                keys.append(own), at.append(np.full(len(own), i))
-        take = pa.array(np.concatenate(at) if at else [], pa.int64())
-        packed = pa.array(np.concatenate(keys).view("<i8") if keys else [], pa.int64())
-        return pa.RecordBatch.from_arrays([packed, batch.column(0).take(take)], ["key", "node"])
 
-    return map_arrow(rows.select("node", "text"), run, "key long, node long", 256)
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, late: list[int] = ()) -> DataFrame:
+    """(i, raw, k1, k2, fp0 .. , n, prefix) of every row, in one pass over the texts.
 
+    raw: the text's XXH64 as Spark has it; k1, k2: 128 bits of the folded text; n: its shingles; the fingerprints
+    are null for texts of under FEW shingles; prefix: packed hashes, null where the task has met
+    the text before.
+    """
+    last = np.array(sorted(late), U64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = WordTable(), set()
+        for batch in rows_of(batches, 256):
+            raws, keys, prints, sizes, prefixes = [], [], [], [], []
+            for text in binary_texts(batch.column(1)):
+                folded, own = sketch(text, table, words)
+                raws.append(xxhash.xxh64_intdigest(text, 42))
+                digest = xxhash.xxh3_128_digest(folded)
+                keys.append(np.frombuffer(digest, "<i8")), sizes.append(len(own))
+                prints.append(fingerprints_of(own, PRINTS) if len(own) >= FEW else [None] * PRINTS)
+                again = digest in seen
+                prefixes.append(None if again else prefix_of(own, similarity, last).tobytes())
+                if not again:
+                    if len(seen) >= WordTable.limit:
+                        seen.clear()
+                    seen.add(digest)
+            k = np.array(keys, np.int64).reshape(-1, 2)
+            cols = [batch.column(0), pa.array(np.array(raws, U64).view(np.int64)), pa.array(k[:, 0]), pa.array(k[:, 1])]
+            cols += [pa.array([p[j] for p in prints], pa.int64()) for j in range(PRINTS)] + [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["i", "raw", "k1", "k2", *FPS, "n", "prefix"])
 
-def shared_prefixes(keyed: DataFrame) -> DataFrame:
-    """The distinct (key, node) of ``keyed`` whose key several nodes hold."""
-    twice = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    return keyed.join(twice, "key").distinct()
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"i {kind}, raw long, k1 long, k2 long, {', '.join(f'{f} long' for f in FPS)}, n int, prefix binary"
+    return modest_batches(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).mapInArrow(run, schema)
 
 
-def mixed_prefixes(shared: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(key, node, cluster, n, major) where nodes of several clusters share the key.
+def exploded(prefixes: DataFrame) -> DataFrame:
+    """(key, node): one row for each shingle of each packed prefix."""
 
-    n: the key's nodes outside ``major``, its largest cluster.
-    """
-    held = with_component(shared, clusters, "node", "cluster")
-    sizes = held.groupBy("key", "cluster").agg(F.count("*").alias("c"))
-    keys = sizes.groupBy("key").agg((F.sum("c") - F.max("c")).alias("n"), F.max_by("cluster", F.struct("c", "cluster")).alias("major"))
-    return held.join(keys.filter("n > 0"), "key")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(h) for h in held])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held) if held else np.zeros(0, np.int64)), pa.array(nodes, pa.int64())], ["key", "node"])
+
+    return map_arrow(prefixes.select("node", "prefix").filter("prefix IS NOT NULL"), run, "key long, node long", 1024)
 
 
-def near_duplicate_links(rows: DataFrame, reps: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4) -> DataFrame:
-    """(a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def often_held(keyed: DataFrame) -> DataFrame:
+    """(key, m) of the keys that several rows hold, stored; keys found once move alone."""
+    return stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
 
-    ``rows`` (node, o, text) are the texts; ``reps`` (node, o) name one row of each.  Not all
-    pairs come out, but enough to connect all that are similar.
 
-    ``count`` fingerprints link dense clusters (two equal segments).  Then texts are joined by
-    the shingles of their prefixes, which no similar pair escapes: first each text with the least
-    of every shared shingle, so that groups of near copies fall into one cluster, then all pairs
-    from different clusters.  Shingles that very many clusters share are put last in the order.
-    At similarity s the share of differing bits is acos(2s / (1 + s)) / pi; pairs that differ in
-    six standard deviations more are left out, and the exact similarity decides on the others.
+class Corpus:
+    """The texts of a near-duplicate search: sketches, nodes and exact comparison.
+
+    A node is a different folded text, by 128 bits (64 where no two share them).
     """
-    fps = [f"fp{j}" for j in range(count)]
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * count
-    within = int(bits * share + 6 * np.sqrt(bits * share * (1 - share)))
-    prints = cut(fingerprints(rows, "node", "text", words, count).dropDuplicates(["node"]))
-    links = cut(verified(cut(coarse_links(prints, fps, within)), rows, reps, words, similarity))
-    keyed = cut(prefix_rows(rows, words, similarity))
-    shared = cut(shared_prefixes(keyed))
-    release(rows.sparkSession)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) near enough by their fingerprints."""
-        a = prints.select(F.col("node").alias("a"), F.struct(*fps).alias("x"))
-        b = prints.select(F.col("node").alias("b"), F.struct(*fps).alias("y"))
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float):
+        self.docs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+        self.words, self.similarity = words, similarity
+        rows = stored(sketches(docs, id_col, text_col, words, similarity))
+        self.sketches = rows
+        torn = rows.groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).filter("x <> y")
+        self.torn = [r["k1"] for r in torn.select("k1").collect()]  # about n * n / 2^65 of n texts
+        self.rows = rows.withColumn("node", self.node())
+        order = F.struct(F.col("i").isNull().alias("none"), "i", "raw")
+        self.reps = stored(self.rows.groupBy("node").agg(F.min(order).alias("o"), *(F.max(f).alias(f) for f in (*FPS, "n"))))
+
+    def node(self) -> Column:
+        return F.when(F.col("k1").isin(self.torn), F.xxhash64("k1", "k2")).otherwise(F.col("k1")) if self.torn else F.col("k1")
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(i, text) of one row of each node, and perhaps others with its id."""
+        wanted = cut(self.reps.join(nodes, "node", "left_semi").select(F.col("o.i").alias("of")))
+        return self.docs.join(small(wanted), F.col("i").eqNullSafe(F.col("of")), "left_semi")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) that their sizes and fingerprints don't rule out.
+
+        Two sets of similarity s differ in size by that factor at most.  At similarity s the share of differing bits is acos(2s / (1 + s)) / pi; pairs that differ
+        in six standard deviations more are ruled out.
+        """
+        share = float(np.arccos(2 * self.similarity / (1 + self.similarity)) / np.pi)
+        bits = 64 * PRINTS
+        within = int(bits * share + 6 * np.sqrt(bits * share * (1 - share)))
+        a = self.reps.select(F.col("node").alias("a"), F.struct(*FPS, "n").alias("x"))
+        b = self.reps.select(F.col("node").alias("b"), F.struct(*FPS, "n").alias("y"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs.join(a, "a").join(b, "b").filter(_distance(fps, "x", "y") <= within).select("a", "b")
-
-    def starred(shared: DataFrame, links: DataFrame) -> DataFrame:
-        mixed = mixed_prefixes(shared, cut(components(links)))
-        least = mixed.groupBy("key").agg(F.min_by(F.struct("node", "cluster"), "node").alias("l"))
-        star = mixed.join(least, "key").filter("cluster <> l.cluster").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-        return cut(links.union(verified(cut(near(star)), rows, reps, words, similarity)))
-
-    links = starred(shared, links)
-    mixed = cut(mixed_prefixes(shared, cut(components(links))))
-    often = mixed.filter(F.col("n") > COMMON).select("key", "n").distinct().orderBy(F.desc("n"), "key").limit(MAX_LATE)
-    late = {r["key"] & 0xFFFFFFFFFFFFFFFF for r in often.collect()}
-    if late:
-        shared = cut(shared_prefixes(cut(prefix_rows(rows, words, similarity, late))))
-        links = starred(shared, links)
-        mixed = cut(mixed_prefixes(shared, cut(components(links))))
-    x = mixed.filter("cluster <> major").select("key", F.col("node").alias("a"), F.col("cluster").alias("ca"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("cluster").alias("cb"), "major")
-    pairs = x.join(y, "key").filter("ca <> cb AND (cb = major OR a < b)").select("a", "b")
-    links = cut(links.union(verified(cut(near(pairs)), rows, reps, words, similarity)))
-    release(rows.sparkSession)
-    return links
+        sized = F.least("x.n", "y.n") >= F.lit(self.similarity - 1e-9) * F.greatest("x.n", "y.n")
+        return pairs.join(a, "a").join(b, "b").filter(sized & F.coalesce(_distance(FPS, "x", "y") <= within, F.lit(True))).select("a", "b")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose shingle sets are similar enough.
+
+        Pairs are dealt into blocks by hashes of both nodes, so a node's set moves once to each
+        block that has a pair of it, however many pairs those are; a block holds the sets of about
+        2 NODES_A_BLOCK nodes.
+        """
+        pairs = cut(pairs)
+        nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        many = F.lit(-(-nodes.count() // NODES_A_BLOCK) or 1)
+        bucket = lambda c: F.pmod(F.xxhash64(c), many)
+        blocked = pairs.select("a", "b", (bucket("a") * many + bucket("b")).alias("block"))
+        wanted = blocked.select(F.col("block").alias("lot"), F.explode(F.array("a", "b")).alias("node")).distinct()
+        packed = wanted.join(self.sets(nodes), "node").select("lot", "node", "shingles")
+        least = self.similarity
+
+        def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+            held = {n: np.frombuffer(s, U64) for n, s in zip(sets["node"], sets["shingles"])}
+            keep = np.zeros(len(pairs), bool)
+            for i, (x, y) in enumerate(zip(pairs["a"], pairs["b"])):
+                a, b = held[x], held[y]
+                both = np.concatenate([a, b])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                keep[i] = shared >= least * (len(a) + len(b) - shared)
+            return pairs.loc[keep, ["a", "b"]]
+
+        return blocked.groupBy("block").cogroup(packed.groupBy("lot")).applyInPandas(run, "a long, b long")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles): the packed shingle hashes of the nodes."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = WordTable()
+            for batch in rows_of(batches, 256):
+                keys, packed = [], []
+                for text in binary_texts(batch.column(1)):
+                    folded, own = sketch(text, table, words)
+                    keys.append(np.frombuffer(xxhash.xxh3_128_digest(folded), "<i8")), packed.append(own.tobytes())
+                k = np.array(keys, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(packed, pa.binary())], ["k1", "k2", "shingles"])
+
+        found = modest_batches(self.texts_of(nodes)).mapInArrow(run, "k1 long, k2 long, shingles binary")
+        return found.select(self.node().alias("node"), "shingles").dropDuplicates(["node"])
+
+    def shared(self) -> DataFrame:
+        """(key, node), stored: the shingles of all prefixes that several nodes hold.
+
+        Shingles that very many rows hold come last in the order, so the prefixes with one of
+        them are taken anew.
+        """
+        keyed = exploded(self.rows)
+        often = often_held(keyed)
+        most = cut(often.filter(F.col("m") > COMMON).orderBy(F.desc("m"), "key").limit(MAX_LATE).select("key"))
+        late = [r["key"] & 0xFFFFFFFFFFFFFFFF for r in most.collect()]
+        if not late:
+            out = stored(keyed.join(often.select("key"), "key").distinct())
+            discard(often)
+            return out
+        hold = cut(keyed.join(small(most), "key", "left_semi").select("node").distinct())
+        again = sketches(self.texts_of(hold), "i", "text", self.words, self.similarity, late).withColumn("node", self.node())
+        again = stored(again.join(hold, "node", "left_semi").select("node", "prefix"))
+        discard(often)
+        keyed = exploded(self.rows.select("node", "prefix").join(hold, "node", "left_anti").union(again))
+        often = often_held(keyed)
+        out = stored(keyed.join(often.select("key"), "key").distinct())
+        discard(often, again)
+        release(self.docs.sparkSession)
+        return out
+
+    def close(self) -> None:
+        discard(self.sketches, self.reps)
+
+
+def star_pairs(shared: DataFrame, clusters: DataFrame, turn: int) -> DataFrame:
+    """(a, b): one node of every shared key, by the turn's order, with its nodes of other clusters."""
+    held = with_component(shared, clusters, "node", "cluster")
+    order = F.xxhash64("node", F.lit(turn))
+    least = held.groupBy("key").agg(F.min_by(F.struct("node", "cluster"), order).alias("l"), F.min("cluster").alias("x"), F.max("cluster").alias("y"))
+    least = cut(least.filter("x <> y").select("key", "l"))
+    return held.join(least, "key").filter("cluster <> l.cluster").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
 
 
-def shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the sorted distinct shingle hashes of the wanted (node, o), packed."""
+def pairs_left(shared: DataFrame, clusters: DataFrame) -> int:
+    """How many rows ``cross_pairs`` would make."""
+    sizes = with_component(shared, clusters, "node", "cluster").groupBy("key", "cluster").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("major"))
+    return int(keys.agg(F.sum((F.col("m") - F.col("major")) * F.col("m"))).first()[0] or 0)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [
-            np.unique(np.array(shingle_digests(t.lower().split(), words), "<u8")).tobytes()
-            for t in binary_texts(batch.column(1))
-        ]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
 
-    held = rows.join(small(cut(wanted)), ["node", "o"], "left_semi").select("node", "text")
-    return map_arrow(held, run, "node long, shingles binary").dropDuplicates(["node"])
+def cross_pairs(shared: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b): nodes of different clusters that share a key.
+
+    The key's largest cluster only meets the others, so one large cluster costs its size.
+    """
+    held = with_component(shared, clusters, "node", "cluster")
+    sizes = held.groupBy("key", "cluster").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg((F.sum("c") - F.max("c")).alias("n"), F.max_by("cluster", F.struct("c", "cluster")).alias("major"))
+    mixed = held.join(cut(keys.filter("n > 0").select("key", "major")), "key")
+    x = mixed.filter("cluster <> major").select("key", F.col("node").alias("a"), F.col("cluster").alias("ca"))
+    y = mixed.select("key", F.col("node").alias("b"), F.col("cluster").alias("cb"), "major")
+    return x.join(y, "key").filter("ca <> cb AND (cb = major OR a < b)").select("a", "b")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are similar enough; two empty sets are."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    packed = shingle_sets(rows, reps.join(nodes, "node", "left_semi"), words)
-    left = packed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = packed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+def near_duplicate_links(corpus: Corpus) -> DataFrame:
+    """(a, b) of nodes whose shingle sets have the corpus' similarity or more.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= similarity * (len(a) + len(b) - both))
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    Not all pairs come out, but enough to connect all that are similar.
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return map_arrow(joined, run, "a long, b long")
+    First the variant join links the texts whose fingerprints differ in few bits, which nearly
+    all copies with few changes do.  Then texts are joined by the shingles of their
+    prefixes, which no similar pair escapes: first each text with one text of every shared
+    shingle, another one each turn, so that groups of near copies fall into one cluster, then all
+    pairs from different clusters.  The exact similarity decides on every pair.
+    """
+    spark = corpus.docs.sparkSession
+    prints = corpus.reps.filter(F.col(FPS[0]).isNotNull()).select("node", *FPS)
+    first = cut(prints.groupBy(FPS[0]).agg(F.min("node").alias("node")))
+    equal = prints.join(first.withColumnRenamed("node", "to"), FPS[0]).filter("node <> to").select(F.col("to").alias("a"), F.col("node").alias("b"))
+    near = cut(coarse_links(first, [FPS[0]], MAX_DISTANCE))
+    grouped = with_component(first, components(near), "node", "cluster")
+    links = equal.union(near).union(variant_links(grouped, [FPS[0]], MAX_DISTANCE))
+    links = cut(corpus.similar(corpus.near(links)))
+    release(spark)
+    shared = corpus.shared()
+    enough, left = PAIRS_A_ROW * shared.count(), None
+    for turn in range(TURNS):
+        clusters = cut(components(links))
+        before, left = left, pairs_left(shared, clusters)
+        if turn and (left <= enough or left > 0.9 * before):
+            break
+        links = cut(links.union(corpus.similar(corpus.near(star_pairs(shared, clusters, turn)))))
+        release(spark)
+    links = cut(links.union(corpus.similar(corpus.near(cross_pairs(shared, cut(components(links)))))))
+    discard(shared)
+    release(spark)
+    return links
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, count: int = 4) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicate texts: the one with the least id.
 
     Exact copies (after folding A-Z and whitespace) are collapsed first, rows with equal ids
     by their text, so that only distinct texts are compared.  Null ids come after all others.
+    Null and empty texts are one text.  All columns pass through, whatever their names.
     """
-    key = free_name(docs.columns, "__key")
-    folded = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    keyed = docs.withColumn(key, F.xxhash64(F.md5(folded), F.sha1(folded)))
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
-    reps = cut(keyed.groupBy(key).agg(F.min(order).alias("o")).select(F.col(key).alias("node"), "o"))
-    rows = keyed.select(F.col(key).alias("node"), order.alias("o"), F.col(text_col).alias("text"))
-    links = near_duplicate_links(rows, reps, words, similarity, count)
-    parts = with_component(reps, components(links), "node", "part")
-    keep = parts.groupBy("part").agg(F.min_by("node", F.struct("o", "node")).alias("node"), F.min(F.struct("o", "node")).alias("x"))
-    keep = keep.select(F.col("node").alias(key), F.col("x.o").alias("o"))
-    kept = keyed.join(keep, key).filter(order.eqNullSafe(F.col("o")))
-    return kept.dropDuplicates([key]).select(*docs.columns)
+    corpus = Corpus(docs, id_col, text_col, words, similarity)
+    parts = with_component(corpus.reps, components(near_duplicate_links(corpus)), "node", "part")
+    keep = cut(parts.groupBy("part").agg(F.min("o").alias("o")).select("o.i", "o.raw"))
+    twice = cut(corpus.rows.groupBy("i", "raw").agg(F.count("*").alias("n")).filter("n > 1").select("i", "raw"))
+    corpus.close()
+    release(docs.sparkSession)
+    i, raw = (free_name(docs.columns, n) for n in ("__i", "__raw"))
+    keyed = docs.withColumn(raw, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keep = keep.select(F.col("i").alias(i), F.col("raw").alias(f"{raw}_"))
+    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(raw) == F.col(f"{raw}_")), "left_semi").drop(raw)
+    if twice.isEmpty():
+        return kept
+    twice = twice.select(F.col("i").alias(i), F.col("raw").alias(f"{raw}_"))
+    again = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{raw}_"))
+    once = kept.join(twice, again, "left_anti")
+    repeated = kept.join(twice, again, "left_semi").withColumn(raw, F.coalesce(F.col(text_col), F.lit("")))
+    return once.union(repeated.dropDuplicates([id_col, raw]).drop(raw))
 
 
 def op1(docs: DataFrame) -> DataFrame:
