@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages from raw documents to a weighted mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
-Parquet and reads again as the next stage's input.
+Parquet and reads again as the next stage's input.  All but the last return the columns of
+``documents``; other columns that the input may have are not passed on.  Documents with a null or
+empty text have no language and go in the first stage; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -60,7 +62,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written and read again."""
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = common.documents(spark, sf_dir)
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        here = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            common.delete(spark, before)  # the next stage has all of it
+        before = here
     return docs
