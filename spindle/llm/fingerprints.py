@@ -20,10 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, release, rows_of, shuffle_width, small, texts
+from .common import cut, is_small, map_arrow, modest_batches, release, rows_of, shuffle_width, small, texts
 
 SPACE = re.compile(r"\s+")
 
@@ -34,8 +35,12 @@ def canonical(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
+def fingerprint_of(data: bytes) -> str:
+    return xxhash.xxh3_128_hexdigest(data)
+
+
 def fingerprint(text: str) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
+    return fingerprint_of(canonical(text).encode("utf-8", "surrogatepass"))
 
 
 def likeness(a: str, b: str) -> float:
@@ -57,41 +62,41 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, group_id, n_copies): group_id is the least id with equal canonical bytes.
 
-    Only texts in buckets of two or more are moved and compared, each with the texts that lead
-    its bucket; a text equal to no leader leads a bucket of its own in the next round, which
-    only a collision of 128-bit digests can cause.
+    Only texts in buckets of two or more are compared.  Copies merge before anything is
+    shuffled, as the canonical bytes are a grouping key: a bucket costs its different texts once
+    for every task that holds one, however many copies there are.  A bucket of several texts,
+    which only a collision of 128-bit digests can make, is told apart by the bytes.
     """
     prints = cut(with_fingerprint(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
     several = prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
-    shared = prints.join(several.select("fingerprint"), "fingerprint", "left_semi").select(F.col("id").alias("of")).distinct()
-    members = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = members.join(small(cut(shared)), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    several = cut(several)
+    members = docs.select(id_col, text_col)
+    shared = cut(prints.join(several, "fingerprint", "left_semi").select(F.col("id").alias("of")).distinct())
+    if is_small(shared):  # the other rows' bytes need not be made
+        members = members.join(F.broadcast(shared), F.col(id_col).eqNullSafe(F.col("of")), "left_semi")
+    held = _canonical_bytes(members, id_col, text_col).join(small(several.select("fingerprint")), "fingerprint", "left_semi")
+    alike = held.groupBy("fingerprint", "bytes").agg(F.count("*").alias("m"))
+    torn = cut(alike.groupBy("fingerprint").agg(F.count("*").alias("texts")).filter("texts > 1").select("fingerprint"))
+    parted = prints.join(several, "fingerprint", "left").select("id", "fingerprint", F.coalesce("least", "id").alias("group_id"), F.coalesce("n", F.lit(1).cast("long")).alias("n_copies"))
+    if not torn.isEmpty():
+        inner = _canonical_bytes(docs, id_col, text_col).join(torn, "fingerprint", "left_semi")
+        groups = inner.groupBy("fingerprint", "bytes").agg(F.min("id").alias("group_id"), F.count("*").alias("n_copies"))
+        apart = inner.join(groups, ["fingerprint", "bytes"]).select("id", "fingerprint", "group_id", "n_copies")
+        parted = parted.join(torn, "fingerprint", "left_anti").union(apart)
+    return parted.withColumnRenamed("id", id_col)
+
+
+def _canonical_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fingerprint, bytes): the canonical bytes of every row, compressed (equal if and only if they are)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=3)
         words = [canonical(t).encode("utf-8", "surrogatepass") for t in texts(batch.column(1))]
-        cols = [batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(w) for w in words]), pa.array(words, pa.binary())]
+        cols = [batch.column(0), pa.array([fingerprint_of(w) for w in words], pa.string()), pa.array([pack.compress(w) for w in words], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["id", "fingerprint", "bytes"])
 
-    kind = prints.schema["id"].dataType.simpleString()
-    held = map_arrow(members, run, f"id {kind}, fingerprint string, bytes binary")
-    held = cut(held.join(several.select("fingerprint"), "fingerprint", "left_semi"))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("bytes"))
-    parts = []
-    while True:
-        lead = held.groupBy("fingerprint").agg(F.min_by("bytes", order).alias("lead"), F.min("id").alias("group_id"))
-        told = held.join(lead, "fingerprint")
-        parts.append(told.filter(F.col("bytes") == F.col("lead")).select("id", "fingerprint", "group_id"))
-        held = cut(told.filter(F.col("bytes") != F.col("lead")).select("id", "fingerprint", "bytes"))
-        if held.isEmpty():
-            break
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    alone = prints.join(several.select("fingerprint"), "fingerprint", "left_anti").select("id", "fingerprint", F.col("id").alias("group_id"))
-    every = found.union(alone)
-    sizes = every.groupBy("fingerprint", "group_id").agg(F.count("*").alias("n_copies"))
-    out = every.join(sizes, ["fingerprint", "group_id"])
-    return out.select(F.col("id").alias(id_col), "fingerprint", "group_id", "n_copies")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fingerprint string, bytes binary")
 
 
 def edited(text: str, other: str) -> str:
@@ -100,13 +105,21 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
+#: Sampled ids per range that the driver sees, to cut the table into ranges.
+PER_RANGE = 100
+
+
 def bounds_of(docs: DataFrame, id_col: str, parts: int) -> list:
-    """Ids that cut the table into about ``parts`` ranges of equally many rows; at most parts - 1."""
+    """Ids that cut the table into about ``parts`` ranges of equally many rows; at most parts - 1.
+
+    They come from about PER_RANGE ids per range; ids of any ordered type will do.
+    """
     if parts < 2:
         return []
-    at = [i / parts for i in range(1, parts)]
-    got = docs.select(F.expr(f"percentile_approx(`{id_col}`, array({','.join(map(str, at))}), 10000)")).first()[0]
-    return sorted(set(got or []))
+    ids = docs.select(id_col).filter(F.col(id_col).isNotNull())
+    share = min(1.0, PER_RANGE * parts / max(1, ids.count()))
+    got = sorted(r[0] for r in ids.sample(share, seed=7).collect())
+    return sorted({got[len(got) * k // parts] for k in range(1, parts)}) if got else []
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,10 +134,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     bounds = bounds_of(rows, "id", shuffle_width(spark))
     part = F.lit(0)
     if bounds:
+        cuts = np.array(bounds, np.int64 if isinstance(bounds[0], int) else object)
 
         @F.pandas_udf("int")
         def range_of(ids: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(np.array(bounds), ids.to_numpy(), side="right").astype("int32"))
+            return pd.Series(np.searchsorted(cuts, ids.to_numpy(dtype=cuts.dtype), side="right").astype("int32"))
 
         part = F.when(F.col("id").isNull(), 0).otherwise(range_of(F.coalesce("id", F.lit(bounds[0]))))
     rows = rows.withColumn("part", part.cast("int")).withColumn("guest", F.lit(0))
@@ -155,29 +169,36 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 ["id", "text", "next"],
             )
 
-    return dealt.select("id", "text", "part", "guest").mapInArrow(run, f"id {kind}, text string, next string")
+    return modest_batches(dealt.select("id", "text", "part", "guest")).mapInArrow(run, f"id {kind}, text string, next string")
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document and of its edited text, their likeness, and exact groups."""
+    """Fingerprints of every document and of its edited text, their likeness, and exact groups.
+
+    A null text counts as empty; a document that is alone is its own next one.  Of documents
+    with one id, the next is told by their texts' order.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text, other in zip(texts(batch.column(1)), texts(batch.column(2))):
             changed = edited(text, other)
             a, b, c = fingerprint(text), fingerprint(changed), fingerprint(other)
-            sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((len(text), sha, a, b, likeness(a, b), likeness(a, c)))
+            sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest()
+            rows.append((len(text), sha, bytes.fromhex(a), bytes.fromhex(b), likeness(a, b), likeness(a, c)))
         names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         cols = list(zip(*rows)) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    groups = exact_groups(docs).select(F.col("doc_id").alias("i"), F.col("fingerprint").alias("f"), "group_id", "n_copies").distinct()
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    groups = exact_groups(docs).select(F.col("doc_id").alias("i"), F.unhex("fingerprint").alias("f"), "group_id", "n_copies").distinct()
     groups = cut(groups)
     release(docs.sparkSession)  # the compared bytes need not stay while whole texts are moved
     out = map_arrow(with_next(docs), run, schema)
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fingerprint") == F.col("f"))
-    return out.join(groups, same, "left").drop("i", "f")
+    out = out.join(groups, same, "left").drop("i", "f")
+    for c in ("edited_sha256", "fingerprint", "edited_fingerprint"):
+        out = out.withColumn(c, F.lower(F.hex(c)))
+    return out
