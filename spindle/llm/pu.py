@@ -1,7 +1,6 @@
 """Positive-unlabelled learning with the non-negative risk estimator, in numpy.
 
-Texts become binary features: selected words, selected character trigrams of the text's
-shape, and quantile bins of surface statistics.  Training sees confirmed positives, unlabelled
+Texts become binary features: selected words, and quantile bins of surface statistics.  Training sees confirmed positives, unlabelled
 texts and the class prior pi, and minimises
 
     pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])
@@ -195,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: str, held_out, most_words:
 
     The positives are labelled 1; the unlabelled texts are drawn from all rows that are not
     held out, labelled or not.  At most about MAX_POSITIVE, MAX_UNLABELLED and MAX_CALIBRATION
-    rows reach the driver.  With no positives every score is 0.
+    rows are picked, so their ids can be broadcast, and reach the driver.  With no positives, or no texts, every score is 0.
     """
     marks = labels.filter(F.col(target).isNotNull() & ~held_out(F.col(id_col)))
     marks = marks.groupBy(id_col).agg(F.max(target).cast("int").alias("y"))
@@ -203,16 +202,19 @@ def learn(docs: DataFrame, labels: DataFrame, target: str, held_out, most_words:
     n_pos, n_all = counts.get(1, 0), sum(counts.values())
     open_ = docs.filter(~held_out(F.col(id_col))).select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     h = lambda salt: F.xxhash64(F.col("i").cast("string"), F.lit(salt)).alias("h")
+    none = Model({}, np.zeros((STATS, 0)), np.zeros(STATS * BINS), -40.0)
     if not n_pos:
-        return Model({}, np.zeros((STATS, 0)), np.zeros(STATS * BINS), -40.0)
+        return none
     labelled = marks.select(F.col(id_col).alias("i"), "y")
     share = min(1.0, MAX_POSITIVE / n_pos)
     pick = labelled.filter("y = 1").withColumn("h", h("p")).filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    positive = [r["t"] for r in open_.join(pick.select("i"), "i").select("t").collect()]
-    unlabelled = [r["t"] for r in sampled(open_.select("t", h("u")), "h", MAX_UNLABELLED, docs.count())]
+    positive = [r["t"] for r in open_.join(F.broadcast(pick.select("i")), "i").select("t").collect()]
+    unlabelled = [r["t"] for r in sampled(open_.select("t", h("u")), "h", MAX_UNLABELLED, open_.count())]
     share = min(1.0, MAX_CALIBRATION / n_all)
     pick = labelled.withColumn("h", h("c")).filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    known = [(r["t"], r["y"]) for r in open_.join(pick.select("i", "y"), "i").select("t", "y").collect()]
+    known = [(r["t"], r["y"]) for r in open_.join(F.broadcast(pick.select("i", "y")), "i").select("t", "y").collect()]
+    if not positive or not unlabelled:
+        return none
     model = fit(sorted(positive), sorted(unlabelled), n_pos / n_all, most_words)
     return calibrate(model, sorted(known))
 
