@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compact_windows, decontam, fingerprints, langid, line_templates, mixing, quality, repeats, simhash, toxicity
+from . import compact_windows, decontam, fingerprints, langid, line_templates, merkle, mixing, quality, repeats, simhash, toxicity
 from .common import documents, read_table
 
 
@@ -56,10 +56,15 @@ def op10_repeats(spark, sf_dir):
     return repeats.op10(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    """Every document's place in a Merkle tree, its proof and whether it holds after tampering."""
+    return merkle.op12(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op8_near_passages, op9_decontamination, op10_repeats)
+    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op8_near_passages, op9_decontamination, op10_repeats, op12_merkle_manifest)
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontam.ORACLE}
+    return {"op9_decontamination": decontam.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
