@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compact_windows, decontam, fingerprints, langid, line_templates, merkle, mixing, quality, repeats, simhash, toxicity
+from . import compact_windows, decontam, fingerprints, langid, line_templates, merkle, mixing, prefix_trie, quality, repeats, simhash, toxicity
 from .common import documents, read_table
 
 
@@ -61,10 +61,15 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.op12(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    """The nodes of the trie of all conversations, with members, leaves and what sharing saves."""
+    return prefix_trie.op13(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op8_near_passages, op9_decontamination, op10_repeats, op12_merkle_manifest)
+    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op8_near_passages, op9_decontamination, op10_repeats, op12_merkle_manifest, op13_prefix_trie)
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontam.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
+    return {"op9_decontamination": decontam.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
