@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compact_windows, decontam, fingerprints, langid, line_templates, merkle, mixing, prefix_trie, quality, repeats, simhash, toxicity
+from . import compact_windows, decontam, fingerprints, langid, line_templates, merkle, mixing, nn_descent, prefix_trie, quality, repeats, simhash, toxicity
 from .common import documents, read_table
 
 
@@ -56,6 +56,11 @@ def op10_repeats(spark, sf_dir):
     return repeats.op10(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_nearest_neighbours(spark, sf_dir):
+    """The 20 nearest neighbours of every twentieth vector."""
+    return nn_descent.op11(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     """Every document's place in a Merkle tree, its proof and whether it holds after tampering."""
     return merkle.op12(documents(spark, sf_dir))
@@ -67,7 +72,7 @@ def op13_prefix_trie(spark, sf_dir):
 
 
 def queries() -> dict:
-    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op8_near_passages, op9_decontamination, op10_repeats, op12_merkle_manifest, op13_prefix_trie)
+    all_ = (op1_simhash, op2_toxicity, op3_line_dedup, op4_fingerprints, op5_language_id, op6_quality, op7_mixing, op8_near_passages, op9_decontamination, op10_repeats, op11_nearest_neighbours, op12_merkle_manifest, op13_prefix_trie)
     return {f.__name__: f for f in all_}
 
 
