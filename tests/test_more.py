@@ -1,31 +1,12 @@
-"""The further registered queries against their SQL, and operators against small cases."""
+"""Operators against small cases."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spindle.operators import bonding, curves, dynamics, electrostatics
-from spindle.plans import more
 from spindle.structure import create_structure
 
-from .test_queries import DATA, duck, rows  # noqa: F401
-
-NAMES = sorted(n for n, f in more.QUERIES.items() if f.__module__ == more.__name__)
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_query(spark, duck, name):  # noqa: F811
-    got = more.QUERIES[name](spark, DATA).toPandas()
-    want = duck.sql(more.ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got.astype(object).where(got.notna(), None)) == rows(want.astype(object).where(want.notna(), None))
-
-
-def test_dihedrals_have_sql(spark, duck):  # noqa: F811
-    got, want = more.QUERIES["dihedrals"](spark, DATA).toPandas(), duck.sql(more.ORACLES["dihedrals"]).df()
-    assert rows(got) == rows(want)
-
-
 def test_normals_follow_the_inverse_error_function():
     words = np.array([0, 1 << 31, (1 << 32) - 1, 0x9E3779B9], np.uint64)
     z = dynamics.word_normals(words)

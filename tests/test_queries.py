@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from spindle.plans.queries import ORACLES, QUERIES
+from spindle.plans.catalog import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
@@ -20,8 +21,8 @@ def duck():
 
 
 def rows(df):
-    df = df[sorted(df.columns)]
-    clean = lambda v: "" if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+    df = df[sorted(df.columns)].astype(object)
+    clean = lambda v: "" if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v
     return sorted((tuple(map(clean, r)) for r in df.itertuples(index=False)), key=str)
 
 
