@@ -106,52 +106,3 @@ def grid_points(spark, grid: Grid) -> DataFrame:
     rows = spark.range(nx * ny * nz).select(F.col("id").alias("point"))
     rows = rows.withColumn("i", (F.col("point") % nx).cast("int")).withColumn("j", F.expr(f"CAST((point div {nx}) % {ny} AS INT)")).withColumn("k", F.expr(f"CAST(point div {nx * ny} AS INT)"))
     return rows.withColumns(dict(zip("xyz", grid.to_world(*(F.col(c).cast("double") for c in "ijk")))))
-
-
-#: The six tetrahedra of a cell, by corner numbers i + 2 j + 4 k: they share the main diagonal.
-TETRAHEDRA = ((0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7))
-
-
-def isosurface(samples: DataFrame, grid: Grid, level: float) -> DataFrame:
-    """(cell_i, cell_j, cell_k, triangle, corner, x, y, z): the surface where v crosses level.
-
-    Each cell's eight corners meet by a join of shifted samples; the cell is cut into six
-    tetrahedra, each giving up to two triangles.  Vertices lie linearly along the edges.
-    """
-    corners = F.array(*(F.struct(F.lit(c).alias("n"), F.lit(c & 1).alias("a"), F.lit(c >> 1 & 1).alias("b"), F.lit(c >> 2).alias("c")) for c in range(8)))
-    rows = samples.select("i", "j", "k", F.col("v").cast("double").alias("v"), F.explode(corners).alias("s"))
-    rows = rows.select((F.col("i") - F.col("s.a")).alias("ci"), (F.col("j") - F.col("s.b")).alias("cj"), (F.col("k") - F.col("s.c")).alias("ck"), F.col("s.n").alias("n"), "v")
-    cells = rows.groupBy("ci", "cj", "ck").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("at"))
-    cells = cells.filter((F.col("m") == 8) & (F.col("lo") < level) & (F.col("hi") >= level))
-
-    def run(tables):
-        import pandas as pd
-
-        m = grid.matrix()
-        for table in tables:
-            out = []
-            for ci, cj, ck, at in zip(table["ci"], table["cj"], table["ck"], table["at"]):
-                values = dict(at)
-                n = 0
-                for tet in TETRAHEDRA:
-                    inside = [c for c in tet if values[c] >= level]
-                    rest = [c for c in tet if values[c] < level]
-                    if not inside or not rest:
-                        continue
-                    if len(inside) == 2:
-                        (p, q), (r, s) = inside, rest
-                        loops = [((p, r), (p, s), (q, s)), ((p, r), (q, s), (q, r))]
-                    else:
-                        tip, base = (inside[0], rest) if len(inside) == 1 else (rest[0], inside)
-                        loops = [tuple((tip, b) for b in base)]
-                    for loop in loops:
-                        for corner, (a, b) in enumerate(loop):
-                            t = (level - values[a]) / (values[b] - values[a])
-                            pa = np.array([ci + (a & 1), cj + (a >> 1 & 1), ck + (a >> 2)], float)
-                            pb = np.array([ci + (b & 1), cj + (b >> 1 & 1), ck + (b >> 2)], float)
-                            x = m[:3, :3] @ (pa + t * (pb - pa)) + m[:3, 3]
-                            out.append((ci, cj, ck, n, corner, *x))
-                        n += 1
-            yield pd.DataFrame(out, columns=["cell_i", "cell_j", "cell_k", "triangle", "corner", "x", "y", "z"])
-
-    return cells.mapInPandas(run, "cell_i int, cell_j int, cell_k int, triangle int, corner int, x double, y double, z double")

@@ -245,8 +245,9 @@ def el(z: int) -> list:
 
 
 @query(S3 + f""", w AS (SELECT *, CASE WHEN lag(residue) OVER (PARTITION BY chain ORDER BY atom) IS NOT DISTINCT FROM residue THEN 0 ELSE 1 END AS n FROM {WIDE}),
- r AS (SELECT *, sum(n) OVER (PARTITION BY chain ORDER BY atom) AS run FROM w)
- SELECT atom FROM r WHERE bfactor > 10 AND EXISTS (SELECT 1 FROM r f WHERE f.chain = r.chain AND f.run = r.run AND f.n = 1 AND f.bfactor < 30)""")
+ r AS (SELECT *, sum(n) OVER (PARTITION BY chain ORDER BY atom) AS run FROM w),
+ f AS (SELECT *, first_value(bfactor) OVER (PARTITION BY chain, run ORDER BY atom) AS fb FROM r)
+ SELECT atom FROM f WHERE bfactor > 10 AND fb < 30""")
 def atom_groups_first_of_segment(spark, d):
     return _sets(spark, d, group(residue_test=["core.rel.lt", BF, 30], atom_test=["core.rel.gr", BF, 10]), orders_structure)
 
@@ -413,15 +414,12 @@ def degree(spark, d):
     return graph.degree(points_structure(spark, d).bonds)
 
 
-@query("WITH RECURSIVE e AS (SELECT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_partkey % 40 = 0 AND l_suppkey % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
-def components(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_partkey % 40 = 0 AND l_suppkey % 3 = 0")
-    return graph.components(li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b")))
-
-
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION
+  SELECT own.node, min(near.root) FROM recurring.r own JOIN u ON u.a = own.node JOIN r near ON near.node = u.b WHERE near.root < own.root GROUP BY own.node)
+ SELECT node, root AS component FROM r""")
 def components_all(spark, d):
-    """Over all of lineitem; the SQL of ``components``, which holds a filter, has no counterpart that ends in time."""
+    """Components of parts and suppliers over all of lineitem."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     return graph.components(li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b")))
 
@@ -551,11 +549,6 @@ def _volume(spark) -> DataFrame:
     return rows.select("i", "j", "k", F.expr("CAST((i * 3 + j * 5 + k * 7 + i * j) % 31 AS DOUBLE)").alias("v"))
 
 
-@query(f"WITH g AS ({VOLUME}) SELECT min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sigma FROM g")
-def volume_stats(spark, d):
-    return rounded(volume.volume_stats(_volume(spark)), "mean", "sigma", digits=6)
-
-
 @query(P3 + f""", g AS ({VOLUME}), u AS (SELECT atom, (x + 20) / 2 AS u, (y + 20) / 2 AS v, (z + 20) / 2 AS w FROM points),
  c AS (SELECT *, least(floor(u), 18) AS i0, least(floor(v), 18) AS j0, least(floor(w), 18) AS k0 FROM u WHERE u BETWEEN 0 AND 19 AND v BETWEEN 0 AND 19 AND w BETWEEN 0 AND 19),
  s AS (SELECT atom, sum((1 - abs(u - i)) * (1 - abs(c.v - j)) * (1 - abs(w - k)) * g.v) AS value FROM c JOIN g ON g.i IN (i0, i0 + 1) AND g.j IN (j0, j0 + 1) AND g.k IN (k0, k0 + 1) GROUP BY atom)
@@ -565,12 +558,6 @@ def trilinear(spark, d):
     return rounded(volume.sample(points, _volume(spark), GRID), "value")
 
 
-@query()
-def isosurface(spark, d):
-    found = volume.isosurface(_volume(spark), GRID, 15.5)
-    return found.groupBy("cell_k").agg(F.count("*").alias("vertices"))
-
-
 @query(duck("residues") + " SELECT chain, labelSeq, residue FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY labelSeq DESC) AS r FROM residues) WHERE r <= 2")
 def last_two_residues(spark, d):
     w = Window.partitionBy("chain").orderBy(F.col("labelSeq").desc())

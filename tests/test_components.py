@@ -29,7 +29,7 @@ def test_components_of_all_lineitem(spark):
 
 
 def test_components_of_some_lineitem(spark, tmp_path):
-    """Several components, with all edges of a table that the filter of ``components`` would thin out."""
+    """Several components, with all edges of a table."""
     edges = [(k, k // 7) for k in range(1, 300)]
     spark.createDataFrame(edges, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["node"]: r["component"] for r in QUERIES["components_all"](spark, str(tmp_path)).collect()}
