@@ -41,8 +41,12 @@ PAIR_THRESHOLDS = (
     (8, 78, 2.6), (9, 9, 1.55), (9, 12, 2.02), (9, 31, 2.65), (14, 14, 2.37), (15, 15, 2.3), (15, 16, 2.3), (16, 16, 2.3), (16, 33, 2.68), (16, 34, 2.33),
     (16, 47, 2.72), (16, 80, 2.75), (17, 17, 2.1), (27, 51, 2.6), (34, 34, 2.34), (35, 46, 2.44), (35, 73, 2.63), (35, 78, 2.84), (35, 80, 2.87), (53, 53, 2.73), (53, 80, 2.81),
 )
-# Ranges of metals by atomic number, inclusive.
-METALS = ((3, 4), (11, 13), (19, 31), (37, 50), (55, 83), (87, 109))
+# Metals by atomic number.
+METALS = (
+    3, 4, 11, 12, 13, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 48, 49, 50,
+    55, 56, 57, 58, 59, 60, 61, 62, 63, 64, 65, 66, 67, 68, 69, 70, 71, 72, 73, 74, 75, 76, 77, 78, 79, 80, 81, 82, 83, 87, 88,
+    89, 90, 91, 92, 93, 94, 95, 96, 97, 98, 99, 100, 101, 102, 103, 104, 105, 106, 107, 108, 109,
+)
 
 
 def _index(element: Column) -> Column:
@@ -65,10 +69,7 @@ def _pairing(a: Column, b: Column) -> Column:
 
 
 def _metal(e: Column) -> Column:
-    out = F.lit(False)
-    for lo, hi in METALS:
-        out = out | e.between(lo, hi)
-    return out
+    return e.isin(*METALS)
 
 
 def computed_bonds(s: Structure) -> DataFrame:

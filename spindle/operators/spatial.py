@@ -63,14 +63,24 @@ def pairs_within(atoms: DataFrame, cutoff: float, most: int | None = None, key:
     return out
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """The rows whose coordinates are finite."""
+    good = F.lit(True)
+    for c in "xyz":
+        v = F.col(c).cast("double")
+        good = good & F.col(c).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return rows.filter(good)
+
+
 def nearest(points: DataFrame, atoms: DataFrame, cutoff: float, key: str = "point", atom: str = "atom") -> DataFrame:
     """(point, atom, d2): the nearest atom of every point, the lower id of equals.
 
     Rings of cells of doubling size are searched until every point has an atom that is nearer
-    than the ring is wide; only points without one go on to the next ring.
+    than the ring is wide; only points without one go on to the next ring.  Points and atoms
+    without finite coordinates take no part.
     """
-    left, out, reach = points.select(key, "x", "y", "z"), None, float(cutoff)
-    targets = atoms.select(atom, "x", "y", "z")
+    left, out, reach = placed(points.select(key, "x", "y", "z")), None, float(cutoff)
+    targets = placed(atoms.select(atom, "x", "y", "z"))
     if targets.isEmpty():
         return points.select(key, F.lit(None).cast("long").alias(atom), F.lit(None).cast("double").alias("d2")).limit(0)
     while True:

@@ -452,8 +452,18 @@ def rmsd_by_frame(spark, d):
     return rounded(dynamics.rmsd_by_frame(f, f.filter("frame = 0")), "rmsd")
 
 
-@query()
+_H = [[f"{a}r{b}" for b in "xyz"] for a in "xyz"]
+_SQUARES = " + ".join(f"{v} * {v}" for row in _H for v in row)
+_MINORS = " + ".join(f"({_H[i][k]} * {_H[j][m]} - {_H[i][m]} * {_H[j][k]}) ** 2" for i, j in ((0, 1), (0, 2), (1, 2)) for k, m in ((0, 1), (0, 2), (1, 2)))
+
+
+# Events lie in a plane (y = x / 2), so the covariance has two singular values; their sum follows from its squares and minors.
+@query(duck("frames") + f""", j AS (SELECT f.frame, {", ".join(f"f.{c} - avg(f.{c}) OVER w AS {c}, r.{c} - avg(r.{c}) OVER w AS r{c}" for c in "xyz")}
+  FROM frames f JOIN frames r ON r.frame = 0 AND r.atom = f.atom WINDOW w AS (PARTITION BY f.frame)),
+ s AS (SELECT frame, count(*) AS n, sum(x * x + y * y + z * z + rx * rx + ry * ry + rz * rz) AS size, {", ".join(f"sum({a} * r{b}) AS {a}r{b}" for a in "xyz" for b in "xyz")} FROM j GROUP BY frame)
+ SELECT frame, n, round(sqrt(greatest(0, (size - 2 * sqrt({_SQUARES} + 2 * sqrt({_MINORS}))) / n)), 3) AS rmsd FROM s""")
 def kabsch_by_frame(spark, d):
+    """The least RMSD of every frame to the first over all rotations."""
     f = table(spark, d, "frames")
     return rounded(dynamics.fit_kabsch(f, f.filter("frame = 0")).drop("matrix"), "rmsd")
 

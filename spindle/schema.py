@@ -20,28 +20,30 @@ DOMAINS = ("atom", "residue", "bond")
 
 # Element symbols by atomic number from 1, query radii and masses from 0.
 ELEMENT_SYMBOLS = (
-    "H HE LI BE B C N O F NE NA MG AL SI P S CL AR K CA SC TI V CR MN FE CO NI CU ZN GA GE AS SE BR KR RB "
-    "SR Y ZR NB MO TC RU RH PD AG CD IN SN SB TE I XE CS BA LA CE PR ND PM SM EU GD TB DY HO ER TM YB LU "
-    "HF TA W RE OS IR PT AU HG TL PB BI PO AT RN FR RA AC TH PA U NP PU AM CM BK CF ES FM MD NO LR RF DB "
-    "SG BH HS MT DS RG CN UUT FL UUP LV UUS UUO "
-).split()
-QUERY_RADII = [float(v) for v in (
-    "1.7 1.1 1.4 1.81 1.53 1.92 1.7 1.55 1.52 1.47 1.54 2.27 1.73 1.84 2.1 1.8 1.8 1.75 1.88 2.75 2.31 "
-    "2.3 2.15 2.05 2.05 2.05 2.05 2 2 2 2.1 1.87 2.11 1.85 1.9 1.83 2.02 3.03 2.49 2.4 2.3 2.15 2.1 2.05 "
-    "2.05 2 2.05 2.1 2.2 2.2 1.93 2.17 2.06 1.98 2.16 3.43 2.68 2.5 2.48 2.47 2.45 2.43 2.42 2.4 2.38 "
-    "2.37 2.35 2.33 2.32 2.3 2.28 2.27 2.25 2.2 2.1 2.05 2 2 2.05 2.1 2.05 1.96 2.02 2.07 1.97 2.02 2.2 "
-    "3.48 2.83 2 2.4 2 2.3 2 2 2 2 2 2 2 2 2 2 2 2 2 2 2 2 2 NaN NaN NaN NaN NaN NaN NaN NaN NaN "
-).split()]
-MASSES = [float(v) for v in (
-    "12.011 1.008 4.0026 6.94 9.0122 10.81 12.011 14.007 15.999 18.998 20.18 22.99 24.305 26.982 28.085 "
-    "30.974 32.06 35.45 39.948 39.098 40.078 44.956 47.867 50.942 51.996 54.938 55.845 58.933 58.693 "
-    "63.546 65.38 69.723 72.63 74.922 78.971 79.904 83.798 85.468 87.62 88.906 91.224 92.906 95.95 98 "
-    "101.07 102.91 106.42 107.87 112.41 114.82 118.71 121.76 127.6 126.9 131.29 132.91 137.33 138.91 "
-    "140.12 140.91 144.24 145 150.36 151.96 157.25 158.93 162.5 164.93 167.26 168.93 173.05 174.97 178.49 "
-    "180.95 183.84 186.21 190.23 192.22 195.08 196.97 200.59 204.38 207.2 208.98 209 210 222 223 226 227 "
-    "232.04 231.04 238.03 237.05 244 243 247 247 251 252 257 258 259 266 267 268 269 270 277 278 281 282 "
-    "285 286 289 290 293 294 294 "
-).split()]
+    "H", "HE", "LI", "BE", "B", "C", "N", "O", "F", "NE", "NA", "MG", "AL", "SI", "P", "S", "CL", "AR", "K", "CA", "SC", "TI", "V", "CR",
+    "MN", "FE", "CO", "NI", "CU", "ZN", "GA", "GE", "AS", "SE", "BR", "KR", "RB", "SR", "Y", "ZR", "NB", "MO", "TC", "RU", "RH", "PD",
+    "AG", "CD", "IN", "SN", "SB", "TE", "I", "XE", "CS", "BA", "LA", "CE", "PR", "ND", "PM", "SM", "EU", "GD", "TB", "DY", "HO", "ER",
+    "TM", "YB", "LU", "HF", "TA", "W", "RE", "OS", "IR", "PT", "AU", "HG", "TL", "PB", "BI", "PO", "AT", "RN", "FR", "RA", "AC", "TH",
+    "PA", "U", "NP", "PU", "AM", "CM", "BK", "CF", "ES", "FM", "MD", "NO", "LR", "RF", "DB", "SG", "BH", "HS", "MT", "DS", "RG", "CN",
+    "UUT", "FL", "UUP", "LV", "UUS", "UUO",
+)
+QUERY_RADII = (
+    1.7, 1.1, 1.4, 1.81, 1.53, 1.92, 1.7, 1.55, 1.52, 1.47, 1.54, 2.27, 1.73, 1.84, 2.1, 1.8, 1.8, 1.75, 1.88, 2.75, 2.31, 2.3, 2.15, 2.05,
+    2.05, 2.05, 2.05, 2.0, 2.0, 2.0, 2.1, 1.87, 2.11, 1.85, 1.9, 1.83, 2.02, 3.03, 2.49, 2.4, 2.3, 2.15, 2.1, 2.05, 2.05, 2.0, 2.05, 2.1,
+    2.2, 2.2, 1.93, 2.17, 2.06, 1.98, 2.16, 3.43, 2.68, 2.5, 2.48, 2.47, 2.45, 2.43, 2.42, 2.4, 2.38, 2.37, 2.35, 2.33, 2.32, 2.3, 2.28,
+    2.27, 2.25, 2.2, 2.1, 2.05, 2.0, 2.0, 2.05, 2.1, 2.05, 1.96, 2.02, 2.07, 1.97, 2.02, 2.2, 3.48, 2.83, 2.0, 2.4, 2.0, 2.3, 2.0, 2.0,
+    2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, math.nan, math.nan, math.nan, math.nan, math.nan, math.nan,
+    math.nan, math.nan, math.nan,
+)
+MASSES = (
+    12.011, 1.008, 4.0026, 6.94, 9.0122, 10.81, 12.011, 14.007, 15.999, 18.998, 20.18, 22.99, 24.305, 26.982, 28.085, 30.974, 32.06, 35.45,
+    39.948, 39.098, 40.078, 44.956, 47.867, 50.942, 51.996, 54.938, 55.845, 58.933, 58.693, 63.546, 65.38, 69.723, 72.63, 74.922, 78.971,
+    79.904, 83.798, 85.468, 87.62, 88.906, 91.224, 92.906, 95.95, 98.0, 101.07, 102.91, 106.42, 107.87, 112.41, 114.82, 118.71, 121.76,
+    127.6, 126.9, 131.29, 132.91, 137.33, 138.91, 140.12, 140.91, 144.24, 145.0, 150.36, 151.96, 157.25, 158.93, 162.5, 164.93, 167.26,
+    168.93, 173.05, 174.97, 178.49, 180.95, 183.84, 186.21, 190.23, 192.22, 195.08, 196.97, 200.59, 204.38, 207.2, 208.98, 209.0, 210.0,
+    222.0, 223.0, 226.0, 227.0, 232.04, 231.04, 238.03, 237.05, 244.0, 243.0, 247.0, 247.0, 251.0, 252.0, 257.0, 258.0, 259.0, 266.0,
+    267.0, 268.0, 269.0, 270.0, 277.0, 278.0, 281.0, 282.0, 285.0, 286.0, 289.0, 290.0, 293.0, 294.0, 294.0,
+)
 # Radii for display (1.7 elsewhere) and for bonding, by atomic number.
 DISPLAY_RADII = {1: 1.1, 6: 1.7, 7: 1.55, 8: 1.52, 15: 1.8, 16: 1.8, 26: 2.05, 34: 1.9}
 DEFAULT_RADIUS = 1.7
@@ -57,10 +59,11 @@ SS_NAMES = {"helix": 2, "alpha": 130, "pi": 514, "310": 258, "beta": 4, "strand"
 SS_CODE_FLAGS = (0, 130, 68, 36, 258, 514, 16, 8, 0)
 # Component names of polymers and of water.
 AMINO_ACIDS = (
-    "HIS ARG LYS ILE PHE LEU TRP ALA MET PRO CYS ASN VAL GLY SER GLN TYR ASP GLU THR SEC PYL UNK MSE SEP "
-    "TPO PTR PCA HYP HSD HSE HSP LSN ASPP GLUP HID HIE HIP LYN ASH GLH DAL DAR DSG DAS DCY DGL DGN DHI "
-    "DIL DLE DLY MED DPN DPR DSN DTH DTR DTY DVA DNE "
-).split()
+    "HIS", "ARG", "LYS", "ILE", "PHE", "LEU", "TRP", "ALA", "MET", "PRO", "CYS", "ASN", "VAL", "GLY", "SER", "GLN", "TYR", "ASP", "GLU",
+    "THR", "SEC", "PYL", "UNK", "MSE", "SEP", "TPO", "PTR", "PCA", "HYP", "HSD", "HSE", "HSP", "LSN", "ASPP", "GLUP", "HID", "HIE", "HIP",
+    "LYN", "ASH", "GLH", "DAL", "DAR", "DSG", "DAS", "DCY", "DGL", "DGN", "DHI", "DIL", "DLE", "DLY", "MED", "DPN", "DPR", "DSN", "DTH",
+    "DTR", "DTY", "DVA", "DNE",
+)
 RNA_BASES = ("A", "C", "T", "G", "I", "U", "N")
 DNA_BASES = ("DA", "DC", "DT", "DG", "DI", "DU", "DN")
 WATERS = ("HOH", "WAT", "H2O", "DOD")
@@ -95,7 +98,7 @@ def display_radius(element: Column) -> Column:
 def polymer_kind(comp: Column) -> Column:
     name = F.upper(comp)
     return (
-        F.when(name.isin(AMINO_ACIDS), "protein").when(name.isin(*RNA_BASES), "rna").when(name.isin(*DNA_BASES), "dna").otherwise("other")
+        F.when(name.isin(*AMINO_ACIDS), "protein").when(name.isin(*RNA_BASES), "rna").when(name.isin(*DNA_BASES), "dna").otherwise("other")
     )
 
 

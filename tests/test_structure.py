@@ -226,3 +226,10 @@ def test_stream(spark, tmp_path):
     assert {r["frame"]: r["rmsd"] for r in spark.table("metrics").collect()} == {0: 0, 1: 1, 2: 2}
     shots = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 7)], "owner string, generation int, v int")
     assert sorted(r["v"] for r in S.latest_snapshots(shots).collect()) == [6, 7]
+
+
+def test_nearest_leaves_out_what_has_no_place(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 0.0, 0.0), (3, float("nan"), 0.0, 0.0), (4, 90.0, 0.0, 0.0)], "point long, x double, y double, z double")
+    atoms = spark.createDataFrame([(7, 1.0, 0.0, 0.0), (8, float("inf"), 0.0, 0.0), (9, None, None, None)], "atom long, x double, y double, z double")
+    got = {r["point"]: r["atom"] for r in spatial.nearest(points, atoms, 2.0).collect()}
+    assert got == {1: 7, 4: 7}
