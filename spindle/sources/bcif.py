@@ -190,8 +190,11 @@ def read_structure(spark: SparkSession, path: str, assembly: str | None = None,
 
     ``assembly`` names a biological assembly, whose chains and operators become the instances;
     without it every chain has one identity instance.  Residues are told apart by chain,
-    sequence number, author number and insertion code, not by component.
+    sequence number, author number and insertion code, not by component.  A path with several files is refused: their
+    atoms and entities would have the same numbers.
     """
+    if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1:
+        raise IoError("SEVERAL_FILES", "a structure is read from one file")
     has = _has(spark, path)
     if "atom_site" not in has:
         raise IoError("MISSING_ATOM_SITE", "no atom_site category")
