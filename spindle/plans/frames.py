@@ -1,12 +1,12 @@
-"""Queries of frames made from events: whole molecules, and their SQL."""
+"""Queries of frames made from events and of points in spatial order, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import unwrapping
-from .queries import query, rounded
-from .testtables import duck, table
+from ..operators import blocks, unwrapping
+from .queries import P3, PD2, query, rounded
+from .testtables import duck, points_structure, table
 
 #: Edges of the cell; no difference of two events lies half way.
 CELL = (9.737, 8.917, 7.773)
@@ -25,3 +25,10 @@ def unwrapped_chain(spark, d):
     a, b, c = CELL
     boxes = frames.select("frame").distinct().withColumn("box", F.array(*(F.lit(float(v)) for v in (a, 0, 0, 0, b, 0, 0, 0, c))))
     return rounded(unwrapping.unwrap_frames(frames, edges, boxes).positions, "x", "y", "z", digits=4)
+
+
+@query(P3 + f" SELECT p.atom AS l, q.atom AS r, round({PD2}, 6) AS d2 FROM points p JOIN points q ON p.atom < q.atom AND {PD2} <= 6.25")
+def pairs_by_blocks(spark, d):
+    """Points less than 2.5 apart, by blocks whose boxes are near."""
+    at = points_structure(spark, d).atoms
+    return rounded(blocks.near_by_blocks(at, at, 2.5).filter("l < r"), "d2", digits=6)
