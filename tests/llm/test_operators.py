@@ -197,9 +197,10 @@ def test_op3(spark):
     assert line_templates.op3(frame(spark, [])).count() == 0
 
 
-def test_drain_merges():
-    of, found = line_templates.drain(["a b c d e f g", "a b c d e f h", "a b c x y z w"], 0.7)
-    assert of == [0, 0, 1] and found[0] == "a b c d e f <*>"
+def test_lines_join_the_first_leader_that_fits():
+    lines = ["a b c d e f g", "a b c d e f h", "a b c x y z w"]
+    assert line_templates.first_fit(lines, [], 0.7, True) == [0, 0, 1]
+    assert line_templates.first_fit(lines, lines[2:], 0.7, False) == [-1, -1, 0]
 
 
 def test_op8(spark):
