@@ -407,6 +407,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 
 def op10(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row without the 400-byte strings that start elsewhere too.
+
+    Null texts count as empty and keep the digest of nothing.  Repeated rows hold each other's strings, so of texts of
+    400 bytes or more nothing is left.  An empty table has no rows; other columns play no part.
+    """
     out = removed(docs, max_bucket=max_bucket)
     gone = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + (r["t"] - r["f"]))
     return out.select(
