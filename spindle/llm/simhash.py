@@ -40,6 +40,8 @@ FPS = [f"fp{j}" for j in range(PRINTS)]
 NODES_A_BLOCK = 1_000
 #: Turns of leaders go on, TURNS at most, while they help and more pairs than these for each shared shingle of a text are left.
 PAIRS_A_ROW, TURNS = 4, 8
+#: Shared shingles of a text up to which the rest of them go with each, so that a pair comes out once.
+FEW_KEYS = 128
 #: Shingles put last at most: what the driver holds of them. All others keep their place.
 MAX_LATE = 1 << 19
 
@@ -284,8 +286,12 @@ class Corpus:
         wanted = cut(self.reps.join(nodes, "node", "left_semi").select(F.col("o.i").alias("of")))
         return self.docs.join(small(wanted), F.col("i").eqNullSafe(F.col("of")), "left_semi")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) that their sizes and fingerprints don't rule out.
+    def signs(self, node: str, name: str) -> DataFrame:
+        """(node, name): each node's fingerprints and size, under the names given."""
+        return self.reps.select(F.col("node").alias(node), F.struct(*FPS, "n").alias(name))
+
+    def may_be_near(self, x: str, y: str) -> Column:
+        """Whether the sizes and fingerprints of two ``signs`` don't rule the similarity out.
 
         Two sets of similarity s differ in size by that factor at most.  At similarity s the share of differing bits is acos(2s / (1 + s)) / pi; pairs that differ
         in six standard deviations more are ruled out.
@@ -293,11 +299,13 @@ class Corpus:
         share = float(np.arccos(2 * self.similarity / (1 + self.similarity)) / np.pi)
         bits = 64 * PRINTS
         within = int(bits * share + 6 * np.sqrt(bits * share * (1 - share)))
-        a = self.reps.select(F.col("node").alias("a"), F.struct(*FPS, "n").alias("x"))
-        b = self.reps.select(F.col("node").alias("b"), F.struct(*FPS, "n").alias("y"))
+        sized = F.least(f"{x}.n", f"{y}.n") >= F.lit(self.similarity - 1e-9) * F.greatest(f"{x}.n", f"{y}.n")
+        return sized & F.coalesce(_distance(FPS, x, y) <= within, F.lit(True))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) that may be near."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sized = F.least("x.n", "y.n") >= F.lit(self.similarity - 1e-9) * F.greatest("x.n", "y.n")
-        return pairs.join(a, "a").join(b, "b").filter(sized & F.coalesce(_distance(FPS, "x", "y") <= within, F.lit(True))).select("a", "b")
+        return pairs.join(self.signs("a", "x"), "a").join(self.signs("b", "y"), "b").filter(self.may_be_near("x", "y")).select("a", "b")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingle sets are similar enough.
@@ -390,24 +398,34 @@ def pairs_left(shared: DataFrame, clusters: DataFrame) -> int:
     return int(keys.agg(F.sum((F.col("m") - F.col("major")) * F.col("m"))).first()[0] or 0)
 
 
-def cross_pairs(shared: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): nodes of different clusters that share a key.
+def cross_pairs(corpus: Corpus, shared: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b), distinct: nodes of different clusters that share a key and may be near.
 
-    The key's largest cluster only meets the others, so one large cluster costs its size.
+    The key's largest cluster only meets the others, so one large cluster costs its size.  Pairs that their signs rule out
+    end in the join that makes them, and so do pairs that share a lesser key, where both nodes have FEW_KEYS at most.
     """
     held = with_component(shared, clusters, "node", "cluster")
     sizes = held.groupBy("key", "cluster").agg(F.count("*").alias("c"))
     keys = sizes.groupBy("key").agg((F.sum("c") - F.max("c")).alias("n"), F.max_by("cluster", F.struct("c", "cluster")).alias("major"))
     mixed = held.join(cut(keys.filter("n > 0").select("key", "major")), "key")
-    x = mixed.filter("cluster <> major").select("key", F.col("node").alias("a"), F.col("cluster").alias("ca"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("cluster").alias("cb"), "major")
-    return x.join(y, "key").filter("ca <> cb AND (cb = major OR a < b)").select("a", "b")
+    bare = cut(mixed.select("key", "node", "cluster", "major"))
+    few = bare.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") <= FEW_KEYS).select("node")
+    lists = bare.join(few, "node").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    mixed = stored(bare.join(corpus.signs("node", "s"), "node").join(lists, "node", "left").select("key", "node", "cluster", "major", "s", "keys"))
+    x = mixed.filter("cluster <> major").select("key", F.col("node").alias("a"), F.col("cluster").alias("ca"), F.col("s").alias("x"), F.col("keys").alias("kx"))
+    y = mixed.select("key", F.col("node").alias("b"), F.col("cluster").alias("cb"), "major", F.col("s").alias("y"), F.col("keys").alias("ky"))
+    first = F.coalesce(F.array_min(F.array_intersect("kx", "ky")) == F.col("key"), F.lit(True))
+    met = x.join(y, "key").filter(F.expr("ca <> cb AND (cb = major OR a < b)") & corpus.may_be_near("x", "y") & first)
+    out = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    discard(mixed)
+    return out
 
 
 def near_duplicate_links(corpus: Corpus) -> DataFrame:
     """(a, b) of nodes whose shingle sets have the corpus' similarity or more.
 
-    Not all pairs come out, but enough to connect all that are similar.
+    Not all pairs come out, but enough to connect all that are similar.  Fingerprints alone miss some of these: the
+    join of shared prefixes is the exact way for what the variants leave.
 
     First the variant join links the texts whose fingerprints differ in few bits, which nearly
     all copies with few changes do.  Then texts are joined by the shingles of their
@@ -433,8 +451,11 @@ def near_duplicate_links(corpus: Corpus) -> DataFrame:
             break
         links = cut(links.union(corpus.similar(corpus.near(star_pairs(shared, clusters, turn)))))
         release(spark)
-    links = cut(links.union(corpus.similar(corpus.near(cross_pairs(shared, cut(components(links)))))))
-    discard(shared)
+    clusters = cut(components(links))
+    release(spark)
+    pairs = cross_pairs(corpus, shared, clusters)
+    links = cut(links.union(corpus.similar(pairs)))
+    discard(shared, pairs)
     release(spark)
     return links
 
