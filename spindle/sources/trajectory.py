@@ -26,6 +26,7 @@ VELOCITY_ROWS = FRAME_ROWS + ", vx float, vy float, vz float"
 AKMA_PS = 0.0488882129
 #: Bytes of frames that one task reads.
 TASK_BYTES = 64 << 20
+MOST_TASKS = 100_000
 #: File systems whose files are read by ranges.
 RANGED = ("file", "hdfs", "s3", "gs")
 #: Fixed values of the XTC format: sizes of small differences, about 2^(i / 3).
@@ -319,8 +320,11 @@ def _frames(spark: SparkSession, path: str, kind: str | None, picoseconds: bool,
         index = index.join(files, "file").select(*index.columns, F.expr("substring(content, CAST(place AS INT) + 1, CAST(bytes AS INT))").alias("data"))
         held = index
     else:
+        # The number is given since Spark would put the few rows of an index, whatever they stand for, into one task.
+        total = spark.read.format("binaryFile").load(path).select("length").agg(F.sum("length"), F.count("length")).first()
+        tasks = min(MOST_TASKS, (total[0] or 0) // TASK_BYTES + max(1, total[1]))
         lot = F.floor(F.col("place") / F.lit(TASK_BYTES))
-        held = index.withColumn("lot", lot).repartition("file", "lot").sortWithinPartitions("file", "place").drop("lot")
+        held = index.withColumn("lot", lot).repartition(int(tasks), "file", "lot").sortWithinPartitions("file", "place").drop("lot")
 
     def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, file = None, None
