@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -12,9 +12,9 @@ from ..structure import Structure
 from . import spatial
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the session names; a temporary one only in local mode."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one only in local mode."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -22,6 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
