@@ -95,11 +95,34 @@ def frame_time(frame: Column, start: float, stop: float, frames: int) -> Column:
     return F.lit(float(start)) + frame.cast("double") / max(1, frames - 1) * (stop - start)
 
 
-def interpolated(frames: DataFrame, moments: DataFrame, count: int, mode: str = "linear") -> DataFrame:
-    """(moment, atom, x, y, z): coordinates at fractional frames (moment, position)."""
+def playback_position(seconds: Column, frames: int, fps: float, start: float = 0.0, loop: bool = False) -> Column:
+    """The fractional frame on screen: frame i starts at ``start + i / fps`` and stays for ``1 / fps``, so the end is ``frames``.
+
+    Times outside are held at 0 and ``frames``, or with ``loop`` wrapped, the end to 0; null and infinite or NaN times give null.
+    """
+    if frames < 1 or not (math.isfinite(fps) and fps > 0 and math.isfinite(start)):
+        raise ValueError("frames and fps must be positive, start finite")
+    t, long = seconds.cast("double") - F.lit(float(start)), frames / fps
+    held = t - F.lit(long) * F.floor(t / long) if loop else F.greatest(F.lit(0.0), F.least(F.lit(long), t))
+    return F.when(~F.isnan(t) & (F.abs(t) < float("inf")), held / F.lit(long) * frames)
+
+
+def playback_time(frame: Column, fps: float, start: float = 0.0) -> Column:
+    """The second at which a frame starts."""
+    return F.lit(float(start)) + frame.cast("double") / F.lit(float(fps))
+
+
+def interpolated(frames: DataFrame, moments: DataFrame, count: int, mode: str = "linear", box: tuple[float, float, float] | None = None) -> DataFrame:
+    """(moment, atom, x, y, z): coordinates at fractional frames (moment, position).
+
+    With the lengths of an orthorhombic ``box`` an atom moves to the nearest image of its next place.
+    """
     pair = frame_pair(F.col("position"), count, mode)
     at = moments.select("moment", *(c.alias(f"__{k}") for k, c in pair.items()))
     a = frames.select(F.col("frame").alias("__a"), "atom", *(F.col(c).cast("double").alias(f"a{c}") for c in "xyz"))
     b = frames.select(F.col("frame").alias("__b"), "atom", *(F.col(c).cast("double").alias(f"b{c}") for c in "xyz"))
     rows = at.join(a, "__a").join(b, ["__b", "atom"])
-    return rows.select("moment", "atom", *((F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.col("__t")).cast("float").alias(c) for c in "xyz"))
+    step = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
+    if box is not None:
+        step = {c: d - F.lit(float(n)) * F.floor(d / F.lit(float(n)) + 0.5) for (c, d), n in zip(step.items(), box)}
+    return rows.select("moment", "atom", *((F.col(f"a{c}") + step[c] * F.col("__t")).cast("float").alias(c) for c in "xyz"))

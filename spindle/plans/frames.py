@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import blocks, keyframes, unwrapping
+from ..functions import timeline
+from ..operators import blocks, dynamics, keyframes, unwrapping
+from ..sources import trajectory
 from .queries import P3, PD2, query, rounded
 from .testtables import duck, points_structure, table
 
@@ -75,3 +79,47 @@ def vector_curves(spark, d):
     keys = o.select(curve, F.col("o_orderkey").cast("double").alias("time"), F.array("o_totalprice", F.col("o_custkey").cast("double")).alias("value"), ease.alias("ease"))
     got = keyframes.sample(o.select(F.col("o_orderkey").alias("moment"), curve, (F.col("o_orderkey") + 3.1415926535).alias("time")), keyframes.segments(keys), loop=True)
     return rounded(got.select("moment", *(F.get("value", F.lit(k)).alias(f"v{k}") for k in (0, 1))), "v0", "v1", digits=4)
+
+
+@query("""SELECT event_id, round(greatest(0, least(7.5, value - 2)) * 4, 6) + 0.0 AS held, round((value - 2 - 7.5 * floor((value - 2) / 7.5)) * 4, 6) + 0.0 AS looped, round(2 + event_id / 4.0, 6) AS second FROM events""")
+def playback_frames(spark, d):
+    """Frames on screen at the values of events, held and looped, and the second of each event's frame."""
+    ev, at = spark.read.parquet(f"{d}/events.parquet"), F.col("value")
+    held, looped = (timeline.playback_position(at, 30, 4, start=2, loop=loop) for loop in (False, True))
+    return rounded(ev.select("event_id", held.alias("held"), looped.alias("looped"), timeline.playback_time(F.col("event_id"), 4, 2).alias("second")), "held", "looped", "second", digits=6)
+
+
+@query(duck("frames") + " SELECT frame, atom FROM frames WHERE atom NOT IN (SELECT p_partkey FROM part)")
+def frames_of_unknown_atoms(spark, d):
+    """Rows of frames whose atom isn't among the parts."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("atom"))
+    return trajectory.validate_frames(table(spark, d, "frames"), parts).select("frame", "atom")
+
+
+@query(duck("frames") + """, t AS (SELECT * FROM frames WHERE frame = 0), m AS (SELECT * FROM frames WHERE x > 40)
+ SELECT f.frame, t.atom, coalesce(m.x, t.x) AS x, coalesce(m.y, t.y) AS y, coalesce(m.z, t.z) AS z FROM (SELECT DISTINCT frame FROM m) f CROSS JOIN t LEFT JOIN m ON m.frame = f.frame AND m.atom = t.atom""")
+def partial_frames(spark, d):
+    """Every atom in every frame, where a frame tells only of the atoms far along x."""
+    frames = table(spark, d, "frames")
+    return trajectory.with_partial_frames(frames.filter("x > 40"), frames.filter("frame = 0"))
+
+
+@query(duck("frames") + f""", a AS (SELECT * FROM frames WHERE frame = 0), b AS (SELECT * FROM frames WHERE frame = 1 AND z < 8)
+ SELECT a.atom, {", ".join(f"round(CAST(CAST(a.{c} + CAST('{0.5 * math.sin(1.0)!r}' AS DOUBLE) * coalesce(b.{c} - a.{c}, 0) AS FLOAT) AS DOUBLE), 3) + 0.0 AS {c}" for c in "xyz")} FROM a LEFT JOIN b ON a.atom = b.atom""")
+def mode_displaced(spark, d):
+    """Atoms moved along the way to their next frame; those that have none there stay."""
+    frames = table(spark, d, "frames")
+    first = frames.filter("frame = 0").select("atom", "x", "y", "z")
+    mode = first.join(frames.filter("frame = 1 AND z < 8").select("atom", *(F.col(c).alias(f"b{c}") for c in "xyz")), "atom")
+    mode = mode.select("atom", *((F.col(f"b{c}") - F.col(c)).alias(f"v{c}") for c in "xyz"))
+    return rounded(dynamics.apply_mode(first, mode, 0.5, 1.0), "x", "y", "z", digits=3)
+
+
+_IMAGE = ", ".join(f"round(CAST(CAST(a.{c} + (b.{c} - a.{c} - {n} * floor((b.{c} - a.{c}) / {n} + 0.5)) * 0.25 AS FLOAT) AS DOUBLE), 2) + 0.0 AS {c}" for c, n in zip("xyz", CELL))
+
+
+@query(duck("frames") + f" SELECT 7 AS moment, a.atom, {_IMAGE} FROM frames a JOIN frames b ON a.frame = 3 AND b.frame = 4 AND a.atom = b.atom")
+def nearest_image_frames(spark, d):
+    """Coordinates between two frames, by the nearest image in a box."""
+    moments = spark.createDataFrame([(7, 3.25)], "moment int, position double")
+    return rounded(timeline.interpolated(table(spark, d, "frames"), moments, 20, box=CELL), "x", "y", "z", digits=2)
