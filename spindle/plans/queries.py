@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import views
@@ -27,9 +27,19 @@ def query(sql: str | None = None):
     return add
 
 
+def rounding(value: Column, digits: int) -> Column:
+    """A double rounded as the SQL side does it: scaled, rounded half away from zero, scaled back; no negative zeros.
+
+    Spark's own ``round`` goes by the decimal digits, so 0.0640625 (41 / 640) would end one unit higher.
+    """
+    v, scale = value.cast("double"), F.lit(10.0**digits)
+    whole = F.round(v * scale) / scale
+    return F.when(F.abs(v * scale) < float("inf"), whole).otherwise(v) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 3) -> DataFrame:
     """Rounded doubles without negative zeros, comparable across engines."""
-    return df.withColumns({c: (F.round(F.col(c).cast("double"), digits) + F.lit(0.0)) for c in cols})
+    return df.withColumns({c: rounding(F.col(c), digits) for c in cols})
 
 
 S3 = duck("chains", "residues", "atoms")
@@ -182,7 +192,7 @@ def _evaluated(spark, sf_dir, /, **trees) -> DataFrame:
     cols = []
     for name, tree in trees.items():
         t = expr.scalar(tree)
-        cols.append((F.round(t.col, 6) + F.lit(0.0) if t.kind == "num" else t.col).alias(name))
+        cols.append((rounding(t.col, 6) if t.kind == "num" else t.col).alias(name))
     return s.wide().select("atom", *cols)
 
 
