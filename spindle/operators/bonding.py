@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..structure import Structure
-from . import spatial
+from . import graph, spatial
 
 REACH = 4.0
 COVALENT, METALLIC, COMPUTED = 1, 2, 32
@@ -72,6 +72,13 @@ def _metal(e: Column) -> Column:
     return e.isin(*METALS)
 
 
+def widest(at: DataFrame) -> float:
+    """How far the atoms (e) may at most be apart to bond: the widest threshold of two of their elements, and a hair."""
+    kinds = at.select("e").distinct()
+    most = kinds.crossJoin(kinds.withColumnRenamed("e", "f")).agg(F.max(_pairing(F.col("e"), F.col("f")))).first()[0]
+    return min(REACH, (most or 0.0) * (1 + 1e-9))
+
+
 def computed_bonds(s: Structure) -> DataFrame:
     """(a, b, flags, order), a < b: the bonds that the rules give."""
     own = "comp" if "comp" in s.atoms.columns else "residueComp"
@@ -79,6 +86,7 @@ def computed_bonds(s: Structure) -> DataFrame:
         "atom", "residue", "chain", "altloc", "x", "y", "z", _index(F.col("element")).alias("e"), F.col("occupancy").cast("double").alias("occupancy"),
         "authSeq", (F.coalesce(F.col(own), F.col("residueComp")) != F.col("residueComp")).alias("other"),
     )
+    at = graph.cut(at)
     mixed = at.filter("other").select("residue").distinct()
     ends = lambda links: _with_ends(links, at)
     empty = s.atoms.sparkSession.createDataFrame([], "a long, b long, order int, flags int, source string")
@@ -94,7 +102,7 @@ def computed_bonds(s: Structure) -> DataFrame:
     kept = kept.join(tabled, F.col("a_residue") == F.col("residue"), "left_semi").join(together, pair, "left_anti")
     flags = F.when(_metallic("a_e", "b_e"), F.col("flags").bitwiseAND(F.lit(~COVALENT)).bitwiseOR(F.lit(METALLIC))).otherwise(F.col("flags"))
     template = kept.select("a", "b", flags.alias("flags"), "order")
-    found = spatial.near_pairs(at, at, REACH, (F.col("l.atom") < F.col("r.atom")) & ~((F.col("l.e") == 0) & (F.col("r.e") == 0)))
+    found = spatial.self_pairs(at, widest(at)).filter(~((F.col("l_e") == 0) & (F.col("r_e") == 0)))
     found = found.filter(_compatible("l_altloc", "r_altloc") & (F.col("d2") > 0) & (F.sqrt("d2") <= _pairing(F.col("l_e"), F.col("r_e"))))
     found = found.join(together, (F.least("l_residue", "r_residue") == F.col("lo")) & (F.greatest("l_residue", "r_residue") == F.col("hi")), "left_anti")
     partners = conn.select(F.col("a").alias("p"), F.col("b_chain").alias("pc")).union(conn.select("b", "a_chain")).distinct()
@@ -132,6 +140,4 @@ def preserve_bond_graph(source: Structure, snapshot: Structure) -> Structure:
     """``snapshot`` with the bond graph of its source, wherever its atoms have moved."""
     if source.dataset != snapshot.dataset or source.revisions["topology"] != snapshot.revisions["topology"]:
         raise TypeError("preserve_bond_graph needs the same dataset and topology")
-    from .graph import bond_graph
-
-    return replace(snapshot, edges=bond_graph(source))
+    return replace(snapshot, edges=graph.bond_graph(source))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..structure import Structure
-from . import dynamics, spatial
+from . import dynamics, graph, spatial
 
 RESIDUE_MASS = 110.0
 
@@ -32,8 +32,8 @@ def numbered(df: DataFrame, order: str, name: str, block: int = 1 << 16) -> Data
     return blocks.withColumn("__r", rank).join(before, "__b").withColumn(name, (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__b", "__r", "__before")
 
 
-def springs(guides: DataFrame, cutoff: float = 15.0, k: float = 1.0, most: int = 1_000_000) -> DataFrame:
-    """(a, b, k, rest): contacts of guides with their rest lengths; more than ``most`` raise, none are dropped."""
+def springs(guides: DataFrame, cutoff: float = 15.0, k: float = 1.0, most: int | None = None) -> DataFrame:
+    """(a, b, k, rest): contacts of guides with their rest lengths; with ``most``, more than that raise, none are dropped."""
     pairs = spatial.pairs_within(guides, cutoff, most)
     return pairs.select("a", "b", F.lit(float(k)).alias("k"), F.sqrt("d2").alias("rest"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+#: Rows of a cell in one lot, about; a cell with more is dealt over several.
+LOT = 1_024
 
 
 class PairLimitError(RuntimeError):
@@ -47,6 +49,37 @@ def near_pairs(left: DataFrame, right: DataFrame, reach: float, condition: Colum
     return l.join(r, on).select(*cols, d2.alias("d2"))
 
 
+def self_pairs(rows: DataFrame, reach: float, partition: tuple[str, ...] = (), key: str = "atom") -> DataFrame:
+    """Unordered pairs of ``rows`` within ``reach``: columns prefixed l_ (of the lower ``key``) and r_, with d2.
+
+    Rows are copied to half of the cells around their own.  A crowded cell is dealt over lots, each of which meets all that
+    is sent to the cell by itself, so a dense place is the work of many tasks.
+    """
+    size = max(reach, 1.0) * (1 + 1e-9)
+    by = ["cx", "cy", "cz", *partition]
+    at = rows.select("*", *_cells(rows, size))
+    crowded = at.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > LOT)
+    crowded = crowded.select(*by, F.ceil(F.col("__n") / LOT).cast("int").alias("__lots"))
+    lots = F.coalesce("__lots", F.lit(1))
+    here = at.join(crowded, by, "left").withColumn("__lot", F.pmod(F.xxhash64(key), lots).cast("int")).drop("__lots")
+    shifts = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("ijk", s))) for s in AROUND if s >= (0, 0, 0)))
+    sent = at.select("*", F.explode(shifts).alias("__s"))
+    sent = sent.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"__s.{n}") for c, n in zip("xyz", "ijk")}).withColumn("__own", F.expr("__s.i = 0 AND __s.j = 0 AND __s.k = 0")).drop("__s")
+    sent = sent.join(crowded, by, "left").withColumn("__lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("__lots")
+    # As many tasks as the session asks for, however few bytes the rows take: it is the pairs that cost.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l, r = (df.repartition(parts, *by, "__lot").alias(n) for df, n in ((here, "l"), (sent, "r")))  # noqa: E741
+    d2, lower = squared_distance("l", "r"), F.col(f"l.{key}") < F.col(f"r.{key}")
+    on = (lower | (~F.col("r.__own") & (F.col(f"l.{key}") > F.col(f"r.{key}")))) & (d2 <= F.lit(float(reach) * float(reach)))
+    for c in (*by, "__lot"):
+        on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    pick = lambda c, yes: F.when(lower == yes, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}"))
+    cols = [pick(c, True).alias(f"l_{c}") for c in rows.columns] + [pick(c, False).alias(f"r_{c}") for c in rows.columns]
+    # The join buffers its right side, a lot at a time.
+    # The partition's number keeps filters on what comes out from being moved into the join, where every candidate would pay for them.
+    return r.join(l.hint("merge"), on).select(*cols, (d2 + F.spark_partition_id() * F.lit(0.0)).alias("d2"))
+
+
 def within(atoms: DataFrame, seeds: DataFrame, cutoff: float, key: str = "atom") -> DataFrame:
     """The rows of ``atoms`` with a seed at most ``cutoff`` away, each once."""
     seeds = seeds.select("x", "y", "z").distinct()
@@ -56,8 +89,7 @@ def within(atoms: DataFrame, seeds: DataFrame, cutoff: float, key: str = "atom")
 def pairs_within(atoms: DataFrame, cutoff: float, most: int | None = None, key: str = "atom", partition: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, d2) of unordered pairs; more than ``most`` raise PairLimitError, none are dropped."""
     rows = atoms.select(key, *partition, "x", "y", "z")
-    out = near_pairs(rows, rows, cutoff, F.col(f"l.{key}") < F.col(f"r.{key}"), partition)
-    out = out.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), "d2")
+    out = self_pairs(rows, cutoff, partition, key).select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), "d2")
     if most is not None and out.count() > most:
         raise PairLimitError(f"more than {most} pairs within {cutoff}")
     return out
