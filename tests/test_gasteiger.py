@@ -167,3 +167,35 @@ def test_random_molecules(spark):
                 assert abs(got[at + i] - want[i]) < 1e-9
         at += len(elements)
     assert 10 < len(refused) < 60
+
+
+@pytest.mark.parametrize("most", [0, 3, 1_000])
+def test_molecules_together_and_apart(spark, monkeypatch, most):
+    """A molecule's charges don't depend on whether it is held together or its rounds are joins; batches may end anywhere."""
+    monkeypatch.setattr(gasteiger, "MOLECULE", most)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        nodes, bonds, want = [], [], {}
+        for m in range(9):
+            n = m % 5 + 1
+            k = [(100 * m + i, float(7 + i + m / 10), 9.0, 1.5, 18.0 + i, i % 3, 0.1 * i) for i in range(n)]
+            nodes += [(x, str(m), x + 1, 0, a, b, c, ion, h, q) for x, a, b, c, ion, h, q in k]
+            pairs = [(100 * m + i, 100 * m + i + 1) for i in range(n - 1)]
+            bonds += pairs + [(q, p) for p, q in pairs]
+        q = {r[0]: r[9] for r in nodes}
+        hq, of = dict.fromkeys(q, 0.0), {r[0]: r for r in nodes}
+        for k in range(5):
+            e = {x: r[4] + q[x] * (r[5] + r[6] * q[x]) for x, r in of.items()}
+            pull = lambda x, v, ion: (v - e[x]) / (ion if v < e[x] else of[x][7])
+            heavy = {x: sum(pull(x, e[b], of[b][7]) for a, b in bonds if a == x) for x in q}
+            each = {x: hq[x] / of[x][8] if of[x][8] else 0.0 for x in q}
+            light = {x: of[x][8] * pull(x, 7.17 + each[x] * (6.24 - 0.56 * each[x]), 20.02) for x in q}
+            q = {x: q[x] + 0.5 ** (k + 1) * (heavy[x] + light[x]) for x in q}
+            hq = {x: hq[x] - 0.5 ** (k + 1) * light[x] for x in q}
+        want = {x + 1: q[x] + hq[x] for x in q}
+        frame = spark.createDataFrame(nodes, "x long, m string, atom long, rank long, a double, b double, c double, ion double, h int, q double")
+        got = gasteiger.equalised(frame, spark.createDataFrame(bonds, "p long, q long"), 5).collect()
+        assert len(got) == len(want) and {r["atom"]: r["charge"] for r in got} == pytest.approx(want, abs=1e-12)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
