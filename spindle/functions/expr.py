@@ -428,25 +428,24 @@ class Evaluator:
         if "entityType" not in self.input.columns:
             raise ExpressionError("surrounding-ligands needs chains.entityType")
         radius = self._number(named.get("radius"), 5)
-        inner = self(args[0]).flat().distinct()
+        inner = graph.cut(self(args[0]).flat().distinct())
         kind = F.coalesce(F.col("entityType"), F.lit(""))
-        base = self.input.withColumn("__kind", kind).select("atom", "residue", "__kind", "x", "y", "z")
-        seeds = base.join(inner, "atom", "left_semi")
-        touched = base.join(spatial.within(base, seeds, radius), "atom", "left_semi")
-        start = touched.filter(~F.col("__kind").isin("water", "polymer")).select(F.col("residue").alias("node")).distinct()
+        code = F.when(kind == "water", 1).when(kind == "polymer", 2).otherwise(0)
+        base = graph.cut(self.input.select("atom", "residue", code.alias("__kind"), "x", "y", "z"))
+        seeds = graph.cut(base.join(inner, "atom", "left_semi").select("atom", "x", "y", "z"))
+        start = spatial.near_rows(base.filter("__kind = 0"), seeds, radius).select(F.col("residue").alias("node")).distinct()
         reached = start
         if self.s.links is not None:
-            links = self.s.links.filter("source = 'struct_conn' AND flags IN (1, 2)").select("a", "b")
-            of = self.s.atoms.select("atom", "residue")
-            for end in "ab":
-                links = links.join(of.select(F.col("atom").alias(end), F.col("residue").alias(f"r{end}")), end)
-            steps = graph.cut(links.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            links = self.s.links.filter("source = 'struct_conn' AND flags IN (1, 2)").select("a", "b").distinct()
+            ends = links.select("a", "b", F.posexplode(F.array("a", "b")).alias("end", "atom")).join(self.s.atoms.select("atom", "residue"), "atom")
+            residue = [F.max(F.when(F.col("end") == k, F.col("residue"))).alias(n) for k, n in enumerate(("ra", "rb"))]
+            steps = graph.cut(ends.groupBy("a", "b").agg(*residue).filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
             reached = graph.cut(graph.reach(graph.cut(start), steps))
-        grown = base.filter("__kind <> 'water'").join(reached.select(F.col("node").alias("residue")), "residue", "left_semi").select("atom")
-        rows = inner.union(grown).distinct()
+        grown = base.filter("__kind <> 1").join(reached.select(F.col("node").alias("residue")), "residue", "left_semi").select("atom", "x", "y", "z")
+        rows = inner.union(grown.select("atom"))
         if named.get("include-water"):
-            near = spatial.within(base.filter("__kind = 'water'"), base.join(rows, "atom", "left_semi"), radius)
-            rows = rows.union(near).distinct()
+            rows = rows.union(spatial.near_rows(base.filter("__kind = 1"), grown.union(seeds), radius).select("atom"))
+        rows = rows.distinct()
         return Sets(rows.select(F.lit(0).cast("long").alias("set_id"), "atom"), False)
 
     def _edges(self, test: Any) -> DataFrame:

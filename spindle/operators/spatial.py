@@ -80,10 +80,16 @@ def self_pairs(rows: DataFrame, reach: float, partition: tuple[str, ...] = (), k
     return r.join(l.hint("merge"), on).select(*cols, (d2 + F.spark_partition_id() * F.lit(0.0)).alias("d2"))
 
 
+def near_rows(rows: DataFrame, seeds: DataFrame, cutoff: float) -> DataFrame:
+    """The rows with a seed at most ``cutoff`` away, whole.  Places are compared, each once, however many rows share them."""
+    spots, seeds = rows.select("x", "y", "z").distinct(), seeds.select("x", "y", "z").distinct()
+    near = near_pairs(spots, seeds, cutoff).select(*(F.col(f"l_{c}").alias(c) for c in "xyz")).distinct()
+    return rows.join(near, ["x", "y", "z"], "left_semi")
+
+
 def within(atoms: DataFrame, seeds: DataFrame, cutoff: float, key: str = "atom") -> DataFrame:
     """The rows of ``atoms`` with a seed at most ``cutoff`` away, each once."""
-    seeds = seeds.select("x", "y", "z").distinct()
-    return near_pairs(atoms.select(key, "x", "y", "z"), seeds, cutoff).select(F.col(f"l_{key}").alias(key)).distinct()
+    return near_rows(atoms.select(key, "x", "y", "z"), seeds, cutoff).select(key).distinct()
 
 
 def pairs_within(atoms: DataFrame, cutoff: float, most: int | None = None, key: str = "atom", partition: tuple[str, ...] = ()) -> DataFrame:
