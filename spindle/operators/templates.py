@@ -3,14 +3,16 @@
 A residue's template is named by its component, its place in its chain, its protonation and its
 disulfides; all of that is aggregates of its atoms and joins.  Charges are then one join by
 (template, atom name); hydrogens that a structure lacks add theirs to the atom that carries them.
+Both are told by a residue's first atom of each name and conformer, a row as short as its template, so
+the atoms are gone over twice: for these rows, and to be given their charges.
 
-Templates are data: frames (template, name, charge, parent) and (template, alias, name).  A few
-common ones are built in; ``read_templates`` takes others from a Parquet or CSV table.
+Templates are data: frames (template, name, charge, parent) and (template, alias, name), small enough to
+be sent to every task.  A few common ones are built in; ``read_templates`` takes others from a Parquet or CSV table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,22 +64,6 @@ ALIAS = "template string, alias string, name string"
 PEPTIDE, SULFUR_REACH = 2.0, 2.5
 
 
-@dataclass(frozen=True)
-class TemplateCharges:
-    """charges: (atom, charge); the other frames are the report.
-
-    ions: (residue, comp, charge, source); incomplete: (residue, template, missing); gaps: (before, after, distance);
-    unmatched: (comp, name, count, residues); totals: one row (assigned, net_charge), of active atoms.
-    """
-
-    charges: DataFrame
-    ions: DataFrame
-    incomplete: DataFrame
-    gaps: DataFrame
-    unmatched: DataFrame
-    totals: DataFrame
-
-
 def built_in(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     rows = [(t, n, c, p) for t, atoms in BUILT_IN.items() for n, c, p in atoms]
     return spark.createDataFrame(rows, TEMPLATE), spark.createDataFrame([("NALA", "H", "H1"), ("WAT", "OW", "O")], ALIAS)
@@ -115,13 +101,22 @@ def sequence_gaps(s: Structure, reach: float = PEPTIDE) -> DataFrame:
     return joined.filter(F.col("distance").isNull() | (F.col("distance") > reach)).select(F.col("prev").alias("before"), F.col("residue").alias("after"), "distance")
 
 
-def cystines(s: Structure, reach: float = SULFUR_REACH) -> DataFrame:
-    """(residue) in a disulfide: by links, or by sulfurs of two cysteines less than ``reach`` apart in one model."""
-    comp = F.coalesce("comp", "residueComp")
-    sulfur = s.wide().filter((F.col("name") == "SG") & (comp == "CYS")).select("atom", "residue", "altloc", "model", "x", "y", "z")
+def near_sulfurs(sulfurs: DataFrame, reach: float = SULFUR_REACH) -> DataFrame:
+    """(residue) of the ``sulfurs`` (residue, altloc, model, x, y, z) with one of another residue less than ``reach`` away in their model.
+
+    Places are compared, each once however many sulfurs share it; of a place's residues the least and the greatest tell whether there is another one.
+    """
+    at = ["model", "x", "y", "z", "altloc"]
+    spots = graph.cut(sulfurs.groupBy(*at).agg(F.min("residue").alias("lo"), F.max("residue").alias("hi")))
     clash = (F.col("l.altloc") != "") & (F.col("r.altloc") != "") & (F.col("l.altloc") != F.col("r.altloc"))
-    on = (F.col("l.atom") < F.col("r.atom")) & (F.col("l.residue") != F.col("r.residue")) & ~clash & (F.sqrt(spatial.squared_distance("l", "r")) < reach)
-    near = spatial.near_pairs(sulfur, sulfur, reach, on, ("model",)).select(F.explode(F.array("l_residue", "r_residue")).alias("residue"))
+    pairs = spatial.near_pairs(spots, spots, reach, ~clash & (F.sqrt(spatial.squared_distance("l", "r")) < reach), ("model",))
+    met = pairs.groupBy(*(F.col(f"l_{c}").alias(c) for c in at)).agg(F.min("r_lo").alias("lo"), F.max("r_hi").alias("hi"))
+    return sulfurs.join(met, at).filter("lo <> residue OR hi <> residue").select("residue")
+
+
+def cystines(s: Structure, sulfurs: DataFrame, reach: float = SULFUR_REACH) -> DataFrame:
+    """(residue) in a disulfide: by links, or by sulfurs of two cysteines less than ``reach`` apart in one model."""
+    near = near_sulfurs(sulfurs, reach)
     if s.links is None:
         return near.distinct()
     linked = s.links.filter(F.col("flags").cast("int").bitwiseAND(S.BOND_FLAGS["disulfide"]) != 0).select(F.explode(F.array("a", "b")).alias("atom"))
@@ -129,7 +124,7 @@ def cystines(s: Structure, reach: float = SULFUR_REACH) -> DataFrame:
 
 
 def template_names(groups: DataFrame, ends: DataFrame, sulfurs: DataFrame, known: DataFrame, his: str | None) -> DataFrame:
-    """``groups`` (residue, comp, chain, polymer, hd1, he2, p, wanted) with ``template``; no row where none is known.
+    """``groups`` (residue, comp, chain, polymer, hd1, he2, p, wanted, ...) with ``template``, null where none is known.
 
     known: (template).  The most specific known name of at most three counts.
     """
@@ -150,8 +145,157 @@ def template_names(groups: DataFrame, ends: DataFrame, sulfurs: DataFrame, known
         F.when(base_ & closes, F.concat(name, F.lit("3"))),
         name,
     )
-    found = rows.select(*groups.columns, F.posexplode(tried).alias("nth", "template")).join(known, "template")
-    return found.groupBy("residue", "comp").agg(F.min_by("template", "nth").alias("template"))
+    one = known.agg(F.collect_set("template").alias("known"))
+    found = rows.withColumn("tried", tried).crossJoin(F.broadcast(one))
+    return found.select(*groups.columns, F.get(F.filter("tried", lambda n: F.array_contains("known", n)), F.lit(0)).alias("template"))
+
+
+class TemplateCharges:
+    """Charges of ions and of the components that templates know, and a report; each is made when it is asked for.
+
+    charges: (atom, charge); the other frames are the report.
+    ions: (residue, comp, charge, source); incomplete: (residue, template, missing); gaps: (before, after, distance);
+    unmatched: (comp, name, count, residues); totals: one row (assigned, net_charge), of active atoms.
+    """
+
+    def __init__(self, s: Structure, templates: DataFrame, aliases: DataFrame, his: str | None, asked: DataFrame):
+        self.s, self.his, self.asked = s, his, asked
+        self.templates, self.aliases = templates.groupBy("template", "name", "parent").agg(F.sum("charge").alias("charge")), aliases
+        self.keys = ["residue", "comp"] if "comp" in s.atoms.columns else ["residue"]
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        """Atoms with what their residue says; a residue without a chain takes no part."""
+        s = self.s
+        formal = F.coalesce(F.col("formalCharge").cast("int"), F.lit(0)) if "formalCharge" in s.atoms.columns else F.lit(0)
+        own = [F.col("comp").alias("__comp")] if "comp" in s.atoms.columns else []
+        atoms = s.atoms.select("atom", "name", "altloc", "residue", "element", "x", "y", "z", formal.alias("formal"), *own)
+        of = s.residues.select("residue", "chain", "polymer", F.col("comp").alias("__of")).join(s.chains.select("chain", "model"), "chain")
+        comp = F.coalesce("__comp", "__of") if own else F.col("__of")
+        return atoms.join(of, "residue").withColumn("comp", comp).drop("__comp", "__of")
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """A row for each component of a residue.
+
+        labels: (altloc, at, names) of every conformer: its least atom and the least atom of each name that any template has; sulfurs: the places of
+        a cysteine's sulfurs.
+        """
+        by = ["residue", "comp", "altloc"]
+        sulfur = (F.col("name") == "SG") & (F.col("comp") == "CYS")
+        place = [F.when(sulfur, F.col(c)).alias(f"s{c}") for c in "xyz"]
+        rows = self.wide.select(*by, "name", "atom", "element", "formal", "chain", "polymer", "model", *place)
+        first = F.min_by("formal", F.when(F.col("formal") != 0, F.col("atom")))
+        same = [F.min(c).alias(c) for c in ("chain", "model")]
+        each = rows.groupBy(*by, "name", "sx", "sy", "sz", "polymer").agg(F.min("atom").alias("at"), F.min_by("element", "atom").alias("element"), first.alias("formal"), F.count("*").alias("n"), *same)
+        known = self.templates.select("name").union(self.aliases.select("alias")).distinct().withColumn("known", F.lit(True))
+        each = each.join(F.broadcast(known), "name", "left")
+        has = lambda n: F.bool_or(F.col("name") == n)
+        spot = F.when((F.col("name") == "SG") & (F.col("comp") == "CYS"), F.struct("altloc", *(F.col(f"s{c}").alias(c) for c in "xyz")))
+        told = F.when(F.col("formal").isNotNull(), F.struct("at", "formal"))
+        labels = each.groupBy(*by).agg(
+            F.min("at").alias("at"), F.collect_list(F.when(F.col("known"), F.struct("name", "at"))).alias("names"), F.collect_list(spot).alias("sulfurs"),
+            F.min("polymer").alias("polymer"), has("HD1").alias("hd1"), has("HE2").alias("he2"), has("P").alias("p"), F.min("name").alias("one"), F.max("name").alias("other"),
+            F.sum("n").alias("n"), F.min(F.struct("at", "element")).alias("element"), F.min(told).alias("formal"), *same,
+        )
+        groups = labels.groupBy("residue", "comp").agg(
+            F.collect_list(F.struct("altloc", "at", "names")).alias("labels"), F.flatten(F.collect_list("sulfurs")).alias("sulfurs"),
+            F.min("polymer").alias("polymer"), *(F.bool_or(c).alias(c) for c in ("hd1", "he2", "p")), F.min("one").alias("one"), F.max("other").alias("other"),
+            F.sum("n").alias("n"), F.count("altloc").alias("alts"), F.min("element")["element"].alias("element"), F.min("formal")["formal"].alias("formal"), *same,
+        )
+        usual = S.lookup(F.col("comp"), IONS)
+        single = usual.isNotNull() & (F.col("element") != 1) & (F.col("one") == F.col("other")) & (F.col("alts") == F.col("n"))
+        groups = groups.withColumn("ion", F.when(single, F.coalesce(F.when(F.col("formal") != 0, F.col("formal")), usual)))
+        return graph.stored(groups.drop("one", "other", "n", "alts", "element"))
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """The groups with their template; null: an ion, or none known."""
+        sulfurs = self.groups.select("residue", "model", F.explode("sulfurs").alias("s")).select("residue", "model", "s.*")
+        rows = self.groups.join(self.asked.select("residue", F.col("template").alias("wanted")), "residue", "left")
+        rows = template_names(rows, polymer_ends(self.s), cystines(self.s, sulfurs), self.templates.select("template").distinct(), self.his)
+        rows = rows.withColumn("template", F.when(F.col("ion").isNull(), F.col("template")))
+        other = self.aliases.groupBy("template").agg(F.map_from_entries(F.collect_list(F.struct("alias", "name"))).alias("other"))
+        rows = rows.join(F.broadcast(other), "template", "left")
+        known = lambda n: F.struct(F.coalesce(F.col("other")[n["name"]], n["name"]).alias("name"), n["at"].alias("at"))
+        return rows.withColumn("labels", F.transform("labels", lambda g: F.struct(g["altloc"], g["at"], F.transform(g["names"], known).alias("names")))).drop("other")
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        """``named`` with ``folds``: charges of the hydrogens that a conformer lacks, by the atom that carries them.
+
+        What all conformers share gets the hydrogens of the last one, that whose least atom is the greatest; what the template does not charge
+        gets none.
+        """
+        heavy = self.templates.select("template", F.col("name").alias("parent")).distinct()
+        light = self.templates.filter("parent IS NOT NULL").join(F.broadcast(heavy), ["template", "parent"]).groupBy("template").agg(F.collect_list(F.struct("name", "parent", "charge")).alias("light"))
+        rows = self.named.join(F.broadcast(light), "template", "left")
+        marked = F.filter("labels", lambda g: g["altloc"] != "")
+        last = F.array_max(F.transform(marked, lambda g: F.struct(g["at"], g["altloc"])))["altloc"]
+        rows = rows.withColumn("last", F.coalesce(last, F.lit("")))
+        ends = F.when(F.size(marked) > 0, F.transform(marked, lambda g: g["altloc"])).otherwise(F.array(F.lit("")))
+
+        def carried(c: Column) -> Column:
+            here = F.flatten(F.transform(F.filter("labels", lambda g: (g["altloc"] == "") | (g["altloc"] == c)), lambda g: F.transform(g["names"], lambda n: F.struct(n["name"], n["at"], g["altloc"]))))
+
+            def add(h: Column) -> Column:
+                at = F.array_min(F.transform(F.filter(here, lambda n: n["name"] == h["parent"]), lambda n: F.struct(n["at"], n["altloc"])))
+                takes = ~F.exists(here, lambda n: n["name"] == h["name"]) & at.isNotNull() & ((at["altloc"] != "") | (c == F.col("last")))
+                return F.when(takes, F.struct(at["at"].alias("atom"), h["charge"].alias("charge")))
+
+            return F.transform("light", add)
+
+        found = F.filter(F.flatten(F.transform(ends, carried)), lambda f: f.isNotNull())
+        return rows.withColumn("folds", F.coalesce(found, F.array().cast("array<struct<atom:bigint,charge:double>>")))
+
+    @cached_property
+    def told(self) -> DataFrame:
+        """(atom, residue, comp, name, altloc, charge) of all atoms, the charge null where none is known."""
+        # A component that its residue tells is the group's; so atoms meet their group by the residue alone.
+        atoms = self.wide.select("atom", "residue", "comp", "name", "altloc") if len(self.keys) > 1 else self.s.atoms.select("atom", "residue", "name", "altloc")
+        rows = self.folds.select("residue", "comp", "template", "ion", "folds")
+        if len(self.keys) > 1:
+            rows = rows.withColumnRenamed("comp", "__comp")
+            rows = atoms.join(rows.withColumnRenamed("residue", "__r"), (F.col("residue") == F.col("__r")) & F.col("comp").eqNullSafe(F.col("__comp"))).drop("__r", "__comp")
+        else:
+            rows = atoms.join(rows, "residue")
+        rows = rows.join(F.broadcast(self.aliases.select("template", F.col("alias").alias("name"), F.col("name").alias("to"))), ["template", "name"], "left").withColumn("known", F.coalesce("to", "name"))
+        entry = self.templates.groupBy("template", F.col("name").alias("known")).agg(F.sum("charge").alias("own"))
+        rows = rows.join(F.broadcast(entry), ["template", "known"], "left")
+        more = F.aggregate(F.filter("folds", lambda f: f["atom"] == F.col("atom")), F.lit(0.0), lambda s, f: s + f["charge"])
+        return rows.select("atom", "residue", "comp", "name", "altloc", F.coalesce(F.col("own") + more, F.col("ion").cast("double")).alias("charge"))
+
+    @cached_property
+    def charges(self) -> DataFrame:
+        return self.told.filter("charge IS NOT NULL").select("atom", "charge")
+
+    @cached_property
+    def ions(self) -> DataFrame:
+        source = F.when(F.col("formal") != 0, "imported:formalCharge").otherwise("ccd:ion")
+        return self.groups.filter("ion IS NOT NULL").select("residue", "comp", F.col("ion").alias("charge"), source.alias("source"))
+
+    @cached_property
+    def incomplete(self) -> DataFrame:
+        heavy = self.templates.filter("parent IS NULL").groupBy("template").agg(F.collect_set("name").alias("heavy"))
+        held = F.flatten(F.transform("labels", lambda g: F.transform(g["names"], lambda n: n["name"])))
+        rows = self.named.join(F.broadcast(heavy), "template").withColumn("missing", F.array_except("heavy", held)).filter("size(missing) > 0")
+        return rows.groupBy("residue", "template").agg(F.sort_array(F.flatten(F.collect_list("missing"))).alias("missing"))  # no more than a template's atoms
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return sequence_gaps(self.s)
+
+    @cached_property
+    def active(self) -> DataFrame:
+        return views.active_atoms(self.s, base=self.told)
+
+    @cached_property
+    def unmatched(self) -> DataFrame:
+        return unmatched(self.active.filter("charge IS NULL"))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return self.active.agg(F.count("charge").alias("assigned"), F.coalesce(F.sum("charge"), F.lit(0.0)).alias("net_charge"))
 
 
 def template_charges(s: Structure, templates: DataFrame | None = None, aliases: DataFrame | None = None, his: str | None = None, residues: DataFrame | None = None) -> TemplateCharges:
@@ -167,47 +311,8 @@ def template_charges(s: Structure, templates: DataFrame | None = None, aliases:
         templates, more = built_in(spark)
         aliases = more if aliases is None else aliases
     aliases = spark.createDataFrame([], ALIAS) if aliases is None else aliases
-    formal = F.coalesce(F.col("formalCharge").cast("int"), F.lit(0)) if "formalCharge" in s.atoms.columns else F.lit(0)
-    wide = s.wide().select("atom", "name", "altloc", "residue", "element", F.coalesce("comp", "residueComp").alias("comp"), "chain", "polymer", formal.alias("formal"))
-    wide = graph.cut(wide)
-    has = lambda n: F.bool_or(F.col("name") == n)
-    groups = wide.groupBy("residue", "comp").agg(
-        F.min("chain").alias("chain"), F.min("polymer").alias("polymer"), has("HD1").alias("hd1"), has("HE2").alias("he2"), has("P").alias("p"),
-        F.min("name").alias("one"), F.max("name").alias("other"), F.count("*").alias("n"), F.countDistinct("altloc").alias("alts"),
-        F.min_by("element", "atom").alias("element"), F.min_by("formal", F.when(F.col("formal") != 0, F.col("atom"))).alias("formal"),
-    )
-    usual = S.lookup(F.col("comp"), IONS)
-    single = usual.isNotNull() & (F.col("element") != 1) & (F.col("one") == F.col("other")) & (F.col("alts") == F.col("n"))
-    groups = graph.cut(groups.withColumn("ion", F.when(single, F.coalesce(F.when(F.col("formal") != 0, F.col("formal")), usual))))
-    ions = groups.filter("ion IS NOT NULL")
-    asked = spark.createDataFrame([], "residue long, wanted string") if residues is None else residues.select("residue", F.col("template").alias("wanted"))
-    others = groups.filter("ion IS NULL").select("residue", "comp", "chain", "polymer", "hd1", "he2", "p").join(asked, "residue", "left")
-    named = graph.cut(template_names(others, polymer_ends(s), cystines(s), templates.select("template").distinct(), his))
-    # Atoms by the names that templates give them, once for each conformer of their group.
-    held = wide.join(named, ["residue", "comp"])
-    held = held.join(aliases.select("template", F.col("alias").alias("name"), F.col("name").alias("to")), ["template", "name"], "left").withColumn("known", F.coalesce("to", "name"))
-    held = graph.cut(held.select("atom", "residue", "comp", "template", "altloc", "known"))
-    entry = templates.select("template", F.col("name").alias("known"), "charge", "parent")
-    own = held.join(entry, ["template", "known"]).select("atom", "charge")
-    labels = held.groupBy("residue", "comp", "template", "altloc").agg(F.min("atom").alias("at")).withColumn("alt", F.nullif("altloc", F.lit("")))
-    ends = labels.groupBy("residue", "comp").agg(F.count("alt").alias("alts"), F.max_by("alt", F.when(F.col("alt").isNotNull(), F.col("at"))).alias("last"))
-    conformers = labels.join(ends, ["residue", "comp"]).filter("alt IS NOT NULL OR alts = 0")
-    conformers = conformers.select("residue", "comp", "template", F.coalesce("alt", F.lit("")).alias("alt"), F.coalesce("last", F.lit("")).alias("last"))
-    at = conformers.join(held.select("residue", "comp", "altloc", "known", "atom"), ["residue", "comp"]).filter("altloc = '' OR altloc = alt")
-    present = graph.cut(at.groupBy("residue", "comp", "template", "alt", "known").agg(F.min("atom").alias("atom")))
-    lacking = conformers.join(entry.filter("parent IS NOT NULL"), "template").join(present.select("residue", "comp", "alt", "known"), ["residue", "comp", "alt", "known"], "left_anti")
-    folded = lacking.join(present.select("residue", "comp", "alt", F.col("known").alias("parent"), "atom"), ["residue", "comp", "alt", "parent"])
-    # What all conformers share gets the last one's hydrogens; what the template does not charge stays unassigned.
-    folded = folded.join(held.select("atom", "altloc"), "atom").filter("altloc <> '' OR alt = last").select("atom", "charge").join(own.select("atom"), "atom", "left_semi")
-    ionic = wide.join(ions.select("residue", "comp", F.col("ion").cast("double").alias("charge")), ["residue", "comp"]).select("atom", "charge")
-    charges = graph.cut(own.union(folded).union(ionic).groupBy("atom").agg(F.sum("charge").alias("charge")))
-    need = named.join(entry.filter("parent IS NULL"), "template").join(held.select("residue", "comp", "known").distinct(), ["residue", "comp", "known"], "left_anti")
-    incomplete = need.groupBy("residue", "template").agg(F.sort_array(F.collect_list("known")).alias("missing"))  # no more than a template's atoms
-    source = F.when(F.col("formal") != 0, "imported:formalCharge").otherwise("ccd:ion")
-    active = views.active_atoms(s).select("atom")
-    told = wide.join(active, "atom", "left_semi").join(charges, "atom", "left")
-    totals = told.agg(F.count("charge").alias("assigned"), F.coalesce(F.sum("charge"), F.lit(0.0)).alias("net_charge"))
-    return TemplateCharges(charges, ions.select("residue", "comp", F.col("ion").alias("charge"), source.alias("source")), incomplete, sequence_gaps(s), unmatched(told.filter("charge IS NULL")), totals)
+    asked = spark.createDataFrame([], "residue long, template string") if residues is None else residues
+    return TemplateCharges(s, templates, aliases, his, asked)
 
 
 def unmatched(atoms: DataFrame, first: int = 3) -> DataFrame:
@@ -215,7 +320,7 @@ def unmatched(atoms: DataFrame, first: int = 3) -> DataFrame:
 
     The count and the ``first`` distinct residues, by the atoms' order, come from aggregates of bounded size.
     """
-    each = atoms.groupBy("comp", "name", "residue").agg(F.count("*").alias("k"), F.min("atom").alias("at"))
+    each = graph.stored(atoms.groupBy("comp", "name", "residue").agg(F.count("*").alias("k"), F.min("atom").alias("at")))
     nth = F.row_number().over(Window.partitionBy("comp", "name").orderBy("at"))
     few = each.withColumn("nth", nth).filter(F.col("nth") <= first).groupBy("comp", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "residue"))), lambda r: r["residue"]).alias("residues"))
     return each.groupBy("comp", "name").agg(F.sum("k").alias("count")).join(few, ["comp", "name"])
