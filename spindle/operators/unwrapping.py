@@ -2,7 +2,8 @@
 
 Each bond says by how many cells one end lies off the other's nearest image.  Components are found by
 hooking every root to its least neighbouring root and jumping pointers, and the offsets are
-summed along the pointers as they jump, so a chain of n atoms takes some log n joins.  The root is the component's
+summed along the pointers as they jump.  Bonds within a block of atoms of neighbouring ids are settled first, block by
+block; only bonds between blocks, with the blocks' roots as ends, take joins, some log n of them.  The root is the component's
 least atom and stays where it is.
 """
 
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from . import graph
 from .dynamics import minimum_image_triclinic
 
 SHIFT = ("s0", "s1", "s2")
+#: Atoms of a frame in one block, about, and blocks at most; where atoms are more than both allow, blocks are larger.
+BLOCK, BLOCKS = 4_096, 1_000
+#: Frames whose boxes may be sent to every task.
+FEW = 10_000
 
 
 @dataclass(frozen=True)
@@ -49,23 +55,58 @@ def valid_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.filter(F.col("box").isNotNull()).select("frame", "box", F.coalesce((F.size("box") == 9) & finite & (F.abs(det) > 1e-12), F.lit(False)).alias("good"))
 
 
-def bond_shifts(frames: DataFrame, edges: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(frame, a, b, s0, s1, s2): the lattice vector that brings b to its image nearest a."""
+def block_bounds(frames: DataFrame) -> np.ndarray:
+    """The first ids of all blocks but the first one: quantiles of the atoms' ids."""
+    most = frames.groupBy("frame").count().agg(F.max("count")).first()[0] or 0
+    n = min(-(-most // BLOCK), BLOCKS)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    found = frames.agg(F.percentile_approx("atom", [k / n for k in range(1, n)], 10 * n)).first()[0]
+    return np.unique(np.array(found, np.int64))
+
+
+def bond_shifts(frames: DataFrame, edges: DataFrame, boxes: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(frame, a, b, s0, s1, s2, block): the lattice vector that brings b to its image nearest a; block: that of both ends, or -1."""
     ends = frames.select("frame", "atom", "x", "y", "z")
     rows = edges.join(ends.withColumnsRenamed({"atom": "a", "x": "ax", "y": "ay", "z": "az"}), "a")
     rows = rows.join(ends.withColumnsRenamed({"atom": "b", "x": "bx", "y": "by", "z": "bz"}), ["frame", "b"]).join(boxes.select("frame", "box"), "frame")
     rows = rows.select("frame", "a", "b", *((F.col(f"b{c}").cast("double") - F.col(f"a{c}").cast("double")).alias(f"d{c}") for c in "xyz"), "box")
 
-    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for table in tables:
-            shift = np.zeros((len(table), 3))
-            for _, at in table.groupby("frame").indices.items():
-                box = np.array(table["box"].iloc[at[0]], float).reshape(3, 3)
-                d = table[["dx", "dy", "dz"]].to_numpy(float)[at]
-                shift[at] = np.round((minimum_image_triclinic(d, box) - d) @ np.linalg.inv(box))
-            yield table[["frame", "a", "b"]].assign(**{c: shift[:, k].astype(np.int64) for k, c in enumerate(SHIFT)})
-
-    return rows.mapInPandas(run, "frame int, a long, b long, s0 long, s1 long, s2 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame, a, b = (batch.column(k).to_numpy() for k in range(3))
+            d, shift = np.stack([batch.column(k).to_numpy() for k in (3, 4, 5)], 1), np.zeros((batch.num_rows, 3))
+            cells = batch.column(6).flatten().to_numpy().astype(float).reshape(-1, 3, 3)
+            for f in np.unique(frame):
+                at = np.flatnonzero(frame == f)
+                shift[at] = np.round((minimum_image_triclinic(d[at], cells[at[0]]) - d[at]) @ np.linalg.inv(cells[at[0]]))
+            own, to = (np.searchsorted(bounds, e, side="right") for e in (a, b))
+            cols = [frame, a, b, *shift.astype(np.int64).T, np.where(own == to, own, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["frame", "a", "b", *SHIFT, "block"])
+
+    # As many tasks as the session asks for, however few bytes the rows take.
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "frame", "a").mapInArrow(run, "frame int, a long, b long, s0 long, s1 long, s2 long, block long")
+
+
+def settled(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(atoms, roots, offsets) of the ends of some bonds, as ``potentials`` finds them."""
+    atoms, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root, off = np.arange(len(atoms)), np.zeros((len(atoms), 3), np.int64)
+    while (live := root[i] != root[j]).any():
+        i, j, s = i[live], j[live], s[live]
+        d, down = off[i] + s - off[j], root[i] < root[j]
+        high, low = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
+        order = np.lexsort((low, high))
+        order = order[np.diff(high[order], prepend=-1) > 0]
+        up, by = np.arange(len(atoms)), np.zeros_like(off)
+        up[high[order]] = low[order]
+        by[high[order]] = np.where(down[:, None], d, -d)[order]
+        while (up[up] != up).any():
+            by, up = by + by[up], up[up]
+        off, root = off + by[root], up[root]
+    return atoms, atoms[root], off
 
 
 def potentials(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,6 +137,30 @@ def potentials(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = graph.cut(state)
 
 
+def whole(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ``potentials`` of edges that have a block: those within blocks are settled there, the others between the blocks' roots."""
+
+    def settle(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        atoms, roots, off = settled(table["a"].to_numpy(), table["b"].to_numpy(), table[list(SHIFT)].to_numpy())
+        return pd.DataFrame({"frame": key[0], "atom": atoms, "root": roots, **{c: off[:, k] for k, c in enumerate(SHIFT)}})
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = edges.filter("block >= 0").repartition(parts, "frame", "block").groupBy("frame", "block").applyInPandas(settle, "frame int, atom long, root long, s0 long, s1 long, s2 long")
+    within = graph.stored(within)
+    between = edges.filter("block < 0").drop("block")
+    for e in "ab":
+        end = within.select("frame", F.col("atom").alias(e), F.col("root").alias(f"{e}r"), *(F.col(c).alias(f"{e}{c}") for c in SHIFT))
+        between = between.join(end, ["frame", e], "left").withColumn(f"{e}r", F.coalesce(f"{e}r", e)).fillna(0, [f"{e}{c}" for c in SHIFT])
+    moved = [(F.col(f"a{c}") + F.col(c) - F.col(f"b{c}")).alias(c) for c in SHIFT]
+    between = graph.cut(between.select("frame", F.col("ar").alias("a"), F.col("br").alias("b"), *moved).filter("a <> b").distinct())
+    roots = between.select("frame", "a").union(between.select("frame", "b")).distinct().withColumnRenamed("a", "atom")
+    top = potentials(roots, between).withColumnsRenamed({"atom": "root", **{c: f"n{c}" for c in SHIFT}})
+    held = nodes.select("frame", "atom").join(within, ["frame", "atom"], "left").withColumn("root", F.coalesce("root", "atom"))
+    held = held.join(top, ["frame", "root"], "left")
+    zero = F.lit(0).cast("long")
+    return held.select("frame", "atom", F.coalesce("component", "root").alias("component"), *((F.coalesce(c, zero) + F.coalesce(f"n{c}", zero)).alias(c) for c in SHIFT))
+
+
 def unwrap_frames(frames: DataFrame, edges: DataFrame, boxes: DataFrame, center: DataFrame | None = None) -> Unwrapped:
     """Every component of every frame whole; frames (frame, atom, x, y, z), edges (a, b), boxes (frame, box of nine).
 
@@ -106,10 +171,12 @@ def unwrap_frames(frames: DataFrame, edges: DataFrame, boxes: DataFrame, center:
     frames = frames.select("frame", "atom", *(F.col(c).cast("double").alias(c) for c in "xyz"))
     known = graph.cut(valid_boxes(boxes))
     good = known.filter("good")
+    if good.limit(FEW + 1).count() <= FEW:
+        good = F.broadcast(good)
     inside = frames.join(good.select("frame"), "frame", "left_semi")
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    shifts = graph.cut(bond_shifts(inside, edges, good))
-    found = potentials(inside, shifts)
+    shifts = graph.stored(bond_shifts(inside, edges, good, block_bounds(inside)))
+    found = whole(inside, shifts)
     end = lambda e: found.select("frame", F.col("atom").alias(e), *(F.col(c).alias(f"{e}{c}") for c in SHIFT))
     both = shifts.join(end("a"), ["frame", "a"]).join(end("b"), ["frame", "b"])
     off = F.lit(False)

@@ -79,3 +79,25 @@ def test_rings_boxes_and_centres(spark):
     moved = unwrapping.unwrap_frames(frames, edges, boxes, spark.createDataFrame([(1,), (2,)], "atom long"))
     at = {(r["frame"], r["atom"]): r["x"] for r in moved.positions.collect()}
     assert np.allclose([at[1, k] for k in range(3)], [10.5, 9.5, 9.9])
+
+
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    """Chains, branches and rings over blocks of few atoms, of ids far apart; a chain takes joins between its blocks only."""
+    rng = np.random.default_rng(9)
+    ids = sorted({int(v) for v in rng.integers(0, 1 << 50, 300)}) + [0, 1, 2]
+    edges = [(ids[i], ids[i + 1]) for i in range(200)] + [(ids[int(rng.integers(k))], ids[k]) for k in range(210, 290)]
+    box = np.diag([10.0, 9.0, 8.0])
+    place = {a: rng.uniform(0, 1, 3) @ box for a in ids}
+    df, tables = frames_of(spark, {0: place, 1: place}), spark.createDataFrame([(f, box.ravel().tolist()) for f in (0, 1)], BOX)
+    want = walked(place, edges, box)
+    for size in (7, 1_000_000):
+        monkeypatch.setattr(unwrapping, "BLOCK", size)
+        seen = []
+        own = unwrapping.potentials
+        monkeypatch.setattr(unwrapping, "potentials", lambda n, e: seen.append(e.count()) or own(n, e))
+        out = unwrapping.unwrap_frames(df, spark.createDataFrame(edges, "a long, b long"), tables)
+        got = {(r["frame"], r["atom"]): (r["x"], r["y"], r["z"]) for r in out.positions.collect()}
+        monkeypatch.setattr(unwrapping, "potentials", own)
+        assert len(got) == 2 * len(place) and all(np.allclose(got[f, a], want[a]) for f, a in got)
+        assert {r["status"] for r in out.status.collect()} == {"ok"}
+        assert seen[0] < 2 * len(edges) if size == 7 else seen[0] == 0
