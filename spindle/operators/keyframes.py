@@ -8,17 +8,19 @@ parameters (at an end, or beside an equal key, the tangent is the segment's own
 of both neighbouring segments over their duration, at most three times a segment's mean speed. Lengths are sums of
 ``CHORDS`` chords.
 
-Keys find their neighbours by their number in one global order, moments their segment by buckets of their curve's time, so one curve may hold most of either.
+Keys find their neighbours by their number in one global order, in blocks of it, moments their segment by buckets of their curve's time, so one curve may hold most of either.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
 
 CHORDS = 32
+#: Numbers of keys in one block, in which a key finds its neighbours.
+BLOCK = 4_096
 #: Halvings when a Bezier's parameter is sought.
 HALVINGS = 48
 EASES = ("linear", "cosine", "hold", "bezier")
@@ -95,13 +97,15 @@ def _numbered(keys: DataFrame) -> DataFrame:
 
 def _beside(rows: DataFrame, shifts: tuple[int, ...], cols: list[str]) -> DataFrame:
     """``rows`` with a struct ``by<k>`` of ``cols`` for each neighbour ``k`` numbers on in the same curve, null where there is none."""
-    name = lambda k: f"by{k}".replace("-", "_")
-    held = F.struct(*rows.columns)
-    sent = rows.select("curve", F.explode(F.array(*(F.lit(k) for k in (0, *shifts)))).alias("k"), held.alias("row"))
-    sent = sent.select("curve", (F.col("row.at") - F.col("k")).alias("to"), "k", "row")
-    picks = [F.max(F.when(F.col("k") == k, F.struct(*(F.col(f"row.{c}").alias(c) for c in cols)))).alias(name(k)) for k in shifts]
-    got = sent.groupBy("curve", "to").agg(F.max(F.when(F.col("k") == 0, F.col("row"))).alias("row"), *picks).filter("row IS NOT NULL")
-    return got.select("row.*", *(name(k) for k in shifts))
+    block = lambda k: F.floor((F.col("at") - k) / BLOCK)
+    # A row goes to its own block of numbers, and those at an edge to the next one as well.
+    sent = rows.withColumn("__block", F.explode(F.array_distinct(F.array(*(block(k) for k in (0, *shifts))))))
+    order = Window.partitionBy("__block").orderBy("at")
+    held = F.struct("curve", *cols)
+    found = {f"by{k}".replace("-", "_"): F.lead(held, k).over(order) if k > 0 else F.lag(held, -k).over(order) for k in shifts}
+    got = sent.withColumns(found).filter(F.col("__block") == block(0))
+    same = lambda n: F.when(F.col(f"{n}.curve").eqNullSafe(F.col("curve")), F.col(n)).alias(n)
+    return got.select(*rows.columns, *map(same, found))
 
 
 def segments(keys: DataFrame, angle: bool = False, automatic: bool = False) -> DataFrame:
@@ -121,7 +125,7 @@ def segments(keys: DataFrame, angle: bool = False, automatic: bool = False) -> D
         (F.col("bezier").cast("array<double>") if has("bezier") else F.lit(None).cast("array<double>")).alias("bezier"),
         (F.col("knots").cast("array<array<double>>") if has("knots") else F.lit(None).cast("array<array<double>>")).alias("knots"),
     )
-    near = _beside(_numbered(plain), (-1, 1, 2), ["time", "value"]).filter("by1 IS NOT NULL")
+    near = _beside(_numbered(plain), (-1, 1, 2) if automatic else (1,), ["time", "value"]).filter("by1 IS NOT NULL")
     a, b = F.col("value"), F.col("by1.value")
     if automatic:
         return _automatic(near, a, b, angle)

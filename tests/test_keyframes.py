@@ -116,3 +116,13 @@ def test_refusals(spark):
         K.segments(spark.createDataFrame([good[0], ("c", 1.0, [2.0], "hold", None, None)], SCHEMA), automatic=True)
     empty = spark.createDataFrame([], SCHEMA)
     assert sampled(spark, empty, [(1, "c", 0.0)]) == {1: None}
+
+
+def test_neighbours_across_blocks(spark, monkeypatch):
+    """A key is sent once, and twice or three times at the edge of a block; blocks of any size give the same neighbours."""
+    rows = spark.createDataFrame([("a" if i < 23 else "b", i, float(i)) for i in range(40)], "curve string, at long, time double").repartition(3)
+    for size in (2, 3, 7, 100):
+        monkeypatch.setattr(K, "BLOCK", size)
+        got = {r["at"]: [r[n] and r[n]["time"] for n in ("by_1", "by1", "by2")] for r in K._beside(rows, (-1, 1, 2), ["time"]).collect()}
+        near = lambda i, k: float(i + k) if 0 <= i + k < 40 and (i < 23) == (i + k < 23) else None
+        assert got == {i: [near(i, k) for k in (-1, 1, 2)] for i in range(40)}
