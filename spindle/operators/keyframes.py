@@ -100,6 +100,8 @@ def _beside(rows: DataFrame, shifts: tuple[int, ...], cols: list[str]) -> DataFr
     block = lambda k: F.floor((F.col("at") - k) / BLOCK)
     # A row goes to its own block of numbers, and those at an edge to the next one as well.
     sent = rows.withColumn("__block", F.explode(F.array_distinct(F.array(*(block(k) for k in (0, *shifts))))))
+    # As many tasks as the session asks for, however few bytes the rows take.
+    sent = sent.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__block")
     order = Window.partitionBy("__block").orderBy("at")
     held = F.struct("curve", *cols)
     found = {f"by{k}".replace("-", "_"): F.lead(held, k).over(order) if k > 0 else F.lag(held, -k).over(order) for k in shifts}
@@ -192,6 +194,8 @@ def sample(moments: DataFrame, parts: DataFrame, key: str = "moment", loop: bool
     rows = rows.withColumn("__t", t).withColumn("bucket", bucket(F.col("__t"))).select(key, "curve", "time", "__t", "bucket")
     last = F.col("p.t1") == F.col("p.end")
     held = (F.col("m.__t") >= F.col("p.t0")) & ((F.col("m.__t") < F.col("p.t1")) | (last & (F.col("m.__t") == F.col("p.t1"))))
+    tasks = int(moments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, spread = (df.repartition(tasks, "curve", "bucket") for df in (rows, spread))
     got = rows.alias("m").join(spread.alias("p"), (F.col("m.curve") == F.col("p.curve")) & (F.col("m.bucket") == F.col("p.bucket")) & held, "left")
     u = eased((F.col("m.__t") - F.col("p.t0")) / (F.col("p.t1") - F.col("p.t0")), F.col("p.ease"), F.col("p.bezier"))
     got = got.select(f"m.{key}", "m.curve", "m.time", "m.__t", "p.t1", "p.a", "p.b", "p.k1", "p.k2", "p.last", u.alias("__u"), last.alias("__end"))
