@@ -23,7 +23,7 @@ def inf(sign: int = 1) -> Column:
 
 def div(x: Column, y: Column) -> Column:
     x, y = num(x), num(y)
-    by_zero = F.when(F.isnan(x) | (x == 0), nan()).when(x > 0, inf()).otherwise(inf(-1))
+    by_zero = F.when(F.isnan(x) | (x == 0), nan()).when(x > 0, inf()).when(x < 0, inf(-1))
     return F.when(y == 0, by_zero).otherwise(F.try_divide(x, y))
 
 
@@ -32,17 +32,23 @@ def mod(x: Column, y: Column) -> Column:
     return F.when(F.isnan(x) | F.isnan(y) | (y == 0) | (F.abs(x) == math.inf), nan()).when(F.abs(y) == math.inf, x).otherwise(F.try_mod(x, y))
 
 
+def is_whole(x: Column) -> Column:
+    """No number, or one without a fraction for its size: Spark's floor would end at the greatest long."""
+    return F.isnan(x) | (F.abs(x) >= 2.0**53)
+
+
 def round_half_up(x: Column) -> Column:
-    return F.when(F.isnan(num(x)) | (F.abs(num(x)) == math.inf), num(x)).otherwise(F.floor(num(x) + 0.5).cast("double"))
+    x = num(x)
+    return F.when(is_whole(x), x).otherwise(F.floor(x + 0.5).cast("double"))
 
 
 def trunc(x: Column) -> Column:
     x = num(x)
-    return F.when(F.isnan(x) | (F.abs(x) == math.inf), x).when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double"))
+    return F.when(is_whole(x), x).when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double"))
 
 
 def whole(f):
-    return lambda x: F.when(F.isnan(num(x)) | (F.abs(num(x)) == math.inf), num(x)).otherwise(f(num(x)).cast("double"))
+    return lambda x: F.when(is_whole(num(x)), num(x)).otherwise(f(num(x)).cast("double"))
 
 
 def log(x: Column, base=F.ln) -> Column:

@@ -187,12 +187,20 @@ def to_bonds_either(spark, d):
 # Expressions -----------------------------------------------------------------------------
 
 
-def _evaluated(spark, sf_dir, /, **trees) -> DataFrame:
+def _evaluated(spark, sf_dir, rounds="", instead=None, /, **trees) -> DataFrame:
+    """A column for each tree; ``rounds``: those that the SQL rounds.
+
+    ``instead``: {name: (condition, value)} where the SQL fixes another value than the language's arithmetic.
+    """
     s = orders_structure(spark, sf_dir)
     cols = []
     for name, tree in trees.items():
-        t = expr.scalar(tree)
-        cols.append((rounding(t.col, 6) if t.kind == "num" else t.col).alias(name))
+        value = expr.scalar(tree).col
+        value = rounding(value, 6) if name in rounds else value
+        if instead and name in instead:
+            when, other = instead[name]
+            value = F.when(when, other).otherwise(value)
+        cols.append(value.alias(name))
     return s.wide().select("atom", *cols)
 
 
@@ -203,8 +211,10 @@ BF, SEQ = [MAC + "B_iso_or_equiv"], [MAC + "label_seq_id"]
  round(CASE WHEN labelSeq = 1 THEN CAST('Infinity' AS DOUBLE) ELSE bfactor / (labelSeq - 1) END, 6) AS d, round(sqrt(bfactor) + ln(bfactor), 6) AS e, least(bfactor, labelSeq, 5.0) AS f, CAST(greatest(bfactor, 9.0) AS DOUBLE) AS g FROM {WIDE}""")
 def expr_math(spark, d):
     m = lambda op, *xs: [f"core.math.{op}", *xs]
+    # The SQL: whatever is divided at the first residue, and least() of a NaN and numbers.
+    instead = {"d": (F.col("labelSeq") == 1, F.lit(float("inf"))), "f": (F.isnan("bfactor"), F.least(F.col("labelSeq").cast("double"), F.lit(5.0)))}
     return _evaluated(
-        spark, d, a=m("add", m("sub", m("mult", BF, 2), SEQ), 1), b=m("round-int", m("div", BF, 4)), c=m("mod", BF, 7),
+        spark, d, "abde", instead, a=m("add", m("sub", m("mult", BF, 2), SEQ), 1), b=m("round-int", m("div", BF, 4)), c=m("mod", BF, 7),
         d=m("div", BF, m("sub", SEQ, 1)), e=m("add", m("sqrt", BF), m("log", BF)), f=m("min", BF, SEQ, 5), g=m("max", BF, 9),
     )
 
@@ -237,7 +247,7 @@ def expr_sets(spark, d):
 @query(S3 + f" SELECT atom, round(x + y * 2 - z, 6) AS a, CAST(element AS DOUBLE) AS b, CASE element WHEN 1 THEN 'H' WHEN 2 THEN 'HE' WHEN 3 THEN 'LI' WHEN 4 THEN 'BE' WHEN 5 THEN 'B' WHEN 6 THEN 'C' ELSE 'N' END AS c, CAST(CASE element WHEN 1 THEN 1.1 WHEN 2 THEN 1.4 WHEN 3 THEN 1.81 WHEN 4 THEN 1.53 WHEN 5 THEN 1.92 WHEN 6 THEN 1.7 ELSE 1.55 END AS DOUBLE) AS e, CAST(coalesce(CAST(regexp_extract(authSeq, '^[0-9]+') AS INT), 0) AS DOUBLE) AS f FROM {WIDE}")
 def expr_properties(spark, d):
     return _evaluated(
-        spark, d, a=["core.math.sub", ["core.math.add", [CORE + "x"], ["core.math.mult", [CORE + "y"], 2]], [CORE + "z"]], b=[CORE + "atomic-number"],
+        spark, d, "a", a=["core.math.sub", ["core.math.add", [CORE + "x"], ["core.math.mult", [CORE + "y"], 2]], [CORE + "z"]], b=[CORE + "atomic-number"],
         c=[CORE + "element-symbol"], e=[CORE + "vdw"], f=[MAC + "auth_seq_id"],
     )
 
