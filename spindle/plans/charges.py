@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import gasteiger, templates
+from ..operators import gasteiger, graph, templates
 from ..structure import Structure
 from .queries import query, rounded
 from .testtables import duck, orders_structure
@@ -18,11 +19,13 @@ ELEMENT = "CASE CAST(id AS BIGINT) % 6 WHEN 0 THEN 7 WHEN 1 THEN 8 WHEN 2 THEN 1
 def molecules(spark, d) -> Structure:
     """Every order a molecule: a chain of its lines, with double bonds between some carbons."""
     s = orders_structure(spark, d)
-    atoms = s.atoms.withColumns({"part": F.col("id").cast("long"), "element": F.expr(ELEMENT), "altloc": F.lit("")})
-    next_ = atoms.select((F.col("atom") - 1).alias("atom"), F.col("residue"), F.col("element").alias("next"))
+    atoms = s.atoms.select("atom", "residue", F.lit("").alias("altloc"), F.expr(ELEMENT).alias("element"), F.col("id").cast("long").alias("part"))
+    after = Window.partitionBy("residue").orderBy("atom")  # an order's lines
+    next_ = F.when(F.lead("atom").over(after) == F.col("atom") + 1, F.lead("element").over(after))
+    atoms = graph.stored(atoms.withColumn("next", next_))
     order = F.when((F.col("element") == 6) & (F.col("next") == 6) & (F.col("part") % 5 < 2), 2).otherwise(1)
-    bonds = atoms.join(next_, ["atom", "residue"]).select(F.col("atom").alias("bond"), F.col("atom").alias("a"), (F.col("atom") + 1).alias("b"), order.alias("order"), F.lit(1).alias("flags"), F.lit("explicit").alias("source"))
-    return replace(s, atoms=atoms.drop("part"), bonds=bonds, residues=s.residues.withColumn("polymer", F.lit("other")))
+    bonds = atoms.filter("next IS NOT NULL").select(F.col("atom").alias("bond"), F.col("atom").alias("a"), (F.col("atom") + 1).alias("b"), order.alias("order"), F.lit(1).alias("flags"), F.lit("explicit").alias("source"))
+    return replace(s, atoms=atoms.drop("part", "next"), bonds=bonds, residues=s.residues.withColumn("polymer", F.lit("other")))
 
 
 MOLECULES = f""", aa AS (SELECT atom, residue, {ELEMENT} AS z, CAST(id AS BIGINT) AS part FROM atoms),
